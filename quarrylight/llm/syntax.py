@@ -1,0 +1,432 @@
+"""Recognisers that tell whether a source text is valid syntax of a language.
+
+Python is parsed by Python itself. The other languages are recognised in three steps that all run inside the regex
+engine. A lexer gives each token a class letter; comments vanish, and a character no token can start with, such as the
+quote of a string that never ends or a conflict marker, ends the matter. Innermost brackets are then reduced again and
+again: the letters between a pair are matched with the rules of its kind (arguments, parameters, block, fields, ...),
+and the pair becomes one letter that stands for the set of rules that hold. What remains must match the language's
+rule for a whole file. Reductions are remembered, because the same few shapes come again and again.
+
+The rules cover declarations, statements and expressions of everyday code. They do not follow types, names or
+constant values, and they leave out rare syntax: heredocs and regular expression literals of Ruby, macros by example of
+Rust, K&R declarations of C, JSX.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+import warnings
+from collections.abc import Callable
+
+REMEMBERED = 50_000
+#: Extensions of the languages that are checked; fixed by the data.
+EXTENSIONS = ("py", "rs", "go", "js", "ts", "java", "c", "rb")
+
+_MARKER = r"^(?:<{7}|={7}|>{7}|\|{7})(?![<>=|])"  # conflict markers at the start of a line
+_STRING = r'"(?:[^"\\\n]|\\.)*+"'
+_LINE = r"//[^\n]*"
+_BLOCK = r"/\*(?:[^*]|\*(?!/))*+\*/"
+_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*)"
+_WORD = r"[^\W\d]\w*"
+
+
+class _Classes(dict):
+    """Class letter of a token, worked out once per distinct token."""
+
+    def __init__(self, of: Callable[[str], str]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, token: str) -> str:
+        letter = self.of(token)
+        if len(self) < REMEMBERED:
+            self[token] = letter
+        return letter
+
+
+class Grammar:
+    """tokens: the lexer; words, signs: their class letters; brackets: rules by kind of bracket; top: a whole file.
+
+    In rules, <name> stands for the letters of brackets for which rule ``name`` holds.
+    """
+
+    def __init__(self, tokens: str, words: dict[str, str], signs: dict[str, str], brackets: dict[str, dict[str, str]], top: str, prepare: tuple[tuple[str, str], ...] = (), strings: str = "\"'`", comments: tuple[str, ...] = ("//", "/*"), parts: dict[str, str] | None = None) -> None:
+        self.tokens = re.compile(tokens, re.M | re.S).findall
+        self.classes = _Classes(lambda t: self._class(t, words, signs, strings, comments))
+        self.prepare = [(re.compile(a), b) for a, b in prepare]
+        self.kinds = {"(": 0x1000, "[": 0x2000, "{": 0x4000}
+        letters: dict[str, str] = {}
+        for kind, rules in brackets.items():
+            for bit, name in enumerate(rules):
+                letters[name] = "".join(chr(self.kinds[kind] + mask) for mask in range(1, 1 << len(rules)) if mask >> bit & 1)
+        parts = parts or {}
+
+        def compiled(rule: str) -> re.Pattern:
+            for _ in range(12):
+                grown = re.sub(r"⟨(\w+)⟩", lambda m: f"(?:{parts[m[1]]})", rule)
+                if grown == rule:
+                    break
+                rule = grown
+            return re.compile(re.sub(r"<(\w+)>", lambda m: "[" + letters[m[1]] + "]", rule))
+
+        self.rules = {kind: [compiled(rule) for rule in rules.values()] for kind, rules in brackets.items()}
+        self.top = compiled(top)
+        self.innermost = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
+        self.known: dict[str, str] = {}
+
+    @staticmethod
+    def _class(token: str, words: dict[str, str], signs: dict[str, str], strings: str, comments: tuple[str, ...]) -> str:
+        if token in words:
+            return words[token]
+        if token in signs:
+            return signs[token]
+        if token.startswith(comments):
+            return "N" if "\n" in token and "\n" in signs else ""
+        if token[0] in strings and len(token) > 1:
+            return "v"
+        if token[0].isdigit() or token[0] == "." and len(token) > 1:
+            return "v"
+        if token[0] == "#" and len(token) > 1:
+            return ""
+        if token[0].isidentifier() or token[0] in "@$" and len(token) > 1:
+            return "i"
+        return "X"
+
+    def _reduce(self, match: re.Match) -> str:
+        whole = match[0]
+        letter = self.known.get(whole)
+        if letter is None:
+            kind, inner = whole[0], whole[1:-1]
+            mask = sum(1 << bit for bit, rule in enumerate(self.rules[kind]) if rule.fullmatch(inner))
+            letter = chr(self.kinds[kind] + mask) if mask else "X"
+            if len(self.known) < REMEMBERED and len(whole) < 200:
+                self.known[whole] = letter
+        return letter
+
+    def valid(self, text: str) -> bool:
+        shape = "".join(map(self.classes.__getitem__, self.tokens(text)))
+        if "X" in shape:
+            return False
+        for pattern, put in self.prepare:
+            shape = pattern.sub(put, shape)
+        n = 1
+        while n:
+            shape, n = self.innermost.subn(self._reduce, shape)
+            if n and "X" in shape:
+                return False
+        return self.top.fullmatch(shape) is not None
+
+
+def _words(**groups: str) -> dict[str, str]:
+    return {word: letter for letter, words in groups.items() for word in words.split()}
+
+
+def _signs(extra: dict[str, str], drop: str = "") -> dict[str, str]:
+    base = {s: "b" for s in "/ % == != <= >= && || << >> ^ |".split()} | {"<": "<", ">": ">", "+": "+", "-": "+", "*": "*", "&": "&", "!": "!", "~": "!", "++": "p", "--": "p", "?": "?"}
+    base |= {s: "=" for s in "= += -= *= /= %= &= |= ^= <<= >>=".split()} | {s: s for s in "( ) [ ] { } , ; . :".split()}
+    base |= extra
+    return {k: v for k, v in base.items() if k not in drop.split()}
+
+
+_OPS = r"<<=|>>=|\+\+|--|&&|\|\||[+\-*/%&|^<>=!]=|<<|>>"
+
+# ---- C ----------------------------------------------------------------------------------------------------------------
+_C = Grammar(
+    rf"{_MARKER}|{_BLOCK}|{_LINE}|^[ \t]*#[ \t]*include[ \t]*(?:\"[^\"\n]+\"|<[^>\n]+>)[ \t]*\r?$|^[ \t]*#[ \t]*(?:define[ \t]+\w|ifdef[ \t]+\w|ifndef[ \t]+\w|undef[ \t]+\w|if\b|elif\b|else\b|endif\b|pragma\b|error\b|warning\b|line\b)(?:\\\r?\n|[^\n])*|{_STRING}|'(?:[^'\\\n]|\\.)+'|{_NUMBER}[uUlLfF]*(?!\w)|{_WORD}|->|\.\.\.|{_OPS}|\S",
+    _words(t="int char long short unsigned signed float double void const static extern inline volatile register restrict auto _Bool", s="struct union", E="enum", f="if while switch", F="for", e="else", d="do", r="return", k="break continue", g="goto", c="case", l="default", y="typedef") | {"sizeof": "!"},
+    _signs({"->": ".", "...": "v"}),
+    {
+        "(": {"args": r"(?:⟨expr⟩(?:,⟨expr⟩)*)?", "type": r"⟨base⟩\**", "params": r"(?:t|⟨param⟩(?:,⟨param⟩)*(?:,v)?)?", "head": r"(?:⟨decl⟩|⟨expr⟩(?:,⟨expr⟩)*)?;(?:⟨expr⟩)?;(?:⟨expr⟩(?:,⟨expr⟩)*)?", "pointer": r"\*+i"},
+        "[": {"index": r"(?:⟨expr⟩)?"},
+        "{": {"block": r"(?:⟨stmt⟩)*+", "values": r"(?:⟨item⟩(?:,⟨item⟩)*,?)?", "fields": r"(?:⟨decl⟩;)*+", "names": r"i(?:=⟨expr⟩)?(?:,i(?:=⟨expr⟩)?)*,?"},
+    },
+    r"(?:t*⟨base⟩\**i<params>(?:<block>|;)|y?⟨decl⟩;|y⟨base⟩\**i;|(?:s|E)i?(?:<fields>|<names>)(?:⟨declr⟩(?:,⟨declr⟩)*)?;|;)*+",
+    parts={
+        "base": r"t*(?:si(?:<fields>)?|Ei(?:<names>)?|i|t)t*",
+        "param": r"⟨base⟩(?:\**i?<index>*|<pointer><params>)",
+        "declr": r"\**i<index>*(?:=(?:⟨expr⟩|<values>))?",
+        "decl": r"⟨base⟩⟨declr⟩(?:,⟨declr⟩)*",
+        "unary": r"(?:[!+*&p]|<type>(?=[iv!+*&pခ-῿]))*",
+        "prim": r"(?:i|v+|<args>|<type>)(?:\.i|<args>|<index>|p)*",
+        "bin": r"⟨unary⟩⟨prim⟩(?:[b<>+*&=]⟨unary⟩⟨prim⟩)*",
+        "expr": r"⟨bin⟩(?:\?⟨bin⟩:⟨bin⟩)*",
+        "item": r"(?:\.i=|<index>=)?(?:⟨expr⟩|<values>)",
+        "stmt": r"(?:f<args>|F<head>|e|d|c⟨bin⟩:|l:|i:)*(?:<block>|(?:r(?:⟨expr⟩)?|k|gi|⟨decl⟩|⟨expr⟩(?:,⟨expr⟩)*|y?⟨base⟩)?;)",
+    },
+)
+
+# ---- Java -------------------------------------------------------------------------------------------------------------
+_JAVA = Grammar(
+    rf"{_MARKER}|{_BLOCK}|{_LINE}|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|'(?:[^'\\\n]|\\[^\n]+?)'|{_NUMBER}[lLfFdD]?(?!\w)|@{_WORD}|{_WORD}|->|::|\.\.\.|>>>=?|{_OPS}|\S",
+    _words(t="int long short byte char float double boolean void", m="public private protected static final abstract native synchronized transient volatile strictfp default sealed", C="class interface enum", f="if while", s="switch", F="for", e="else", d="do", r="return throw", k="break continue", w="new", T="try", H="catch", L="finally", P="package", I="import", x="extends implements throws permits", c="case", o="instanceof", v="true false null", X="const goto"),
+    _signs({"->": "a", "::": "D", "...": "V", ">>>": "b", ">>>=": "="}, "&") | {"&": "b"},
+    {
+        "(": {"args": r"(?:⟨expr⟩(?:,⟨expr⟩)*)?", "type": r"⟨type⟩", "params": r"(?:⟨param⟩(?:,⟨param⟩)*)?", "head": r"(?:m*⟨vars⟩|⟨expr⟩(?:,⟨expr⟩)*)?;(?:⟨expr⟩)?;(?:⟨expr⟩(?:,⟨expr⟩)*)?|m*⟨type⟩i:⟨expr⟩", "names": r"i(?:,i)*", "catch": r"m*⟨type⟩(?:b⟨type⟩)*i", "with": r"m*⟨type⟩i=⟨expr⟩(?:;m*⟨type⟩i=⟨expr⟩)*;?"},
+        "[": {"none": r"", "index": r"⟨expr⟩"},
+        "{": {"block": r"(?:⟨stmt⟩)*+", "values": r"(?:(?:⟨expr⟩|<values>)(?:,(?:⟨expr⟩|<values>))*,?)?", "body": r"(?:i(?:<args>)?(?:,i(?:<args>)?)*,?;|i(?:<args>)?(?:,i(?:<args>)?)*,?$)?(?:⟨member⟩)*+", "cases": r"(?:(?:c⟨expr⟩(?:,⟨expr⟩)*|m)(?::(?:⟨stmt⟩)*|a(?:<block>|⟨expr⟩;|r⟨expr⟩;)))*"},
+    },
+    r"(?:P⟨path⟩;)?(?:Im?⟨path⟩(?:\.\*)?;)*(?:⟨class⟩|;)*+",
+    parts={
+        "path": r"i(?:\.i)*",
+        "gen": r"<[it,.?<>xb]*>",
+        "type": r"(?:t|⟨path⟩(?:⟨gen⟩)?)<none>*",
+        "mods": r"(?:@i|m|i<args>)*?",
+        "param": r"m*⟨type⟩V?i<none>*",
+        "class": r"(?:m|A(?:<args>)?)*Ci(?:⟨gen⟩)?(?:<params>)?(?:x⟨type⟩(?:,⟨type⟩)*)*<body>",
+        "vars": r"⟨type⟩i<none>*(?:=(?:⟨expr⟩|<values>))?(?:,i<none>*(?:=(?:⟨expr⟩|<values>))?)*",
+        "member": r"⟨class⟩|(?:m|A(?:<args>)?)*(?:(?:⟨gen⟩)?(?:⟨type⟩)?i<params>(?:x⟨type⟩(?:,⟨type⟩)*)?(?:<block>|(?:=⟨expr⟩)?;)|⟨vars⟩;|<block>)|;",
+        "unary": r"(?:[!+p]|<type>(?=[ivw!ခ-῿]))*",
+        "prim": r"(?:w⟨path⟩(?:⟨gen⟩)?(?:<args>(?:<body>)?|<index>+<none>*|<none>+<values>)|wt(?:<index>+<none>*|<none>+<values>)|i|v|<args>|s<args><cases>|t<none>*(?=\.C|D)|(?:i|<names>|<params>|<args>)a(?:<block>|⟨simple⟩))(?:\.(?:i|C|w⟨path⟩)|<args>|<index>|p|D(?:i|w)|<none>)*",
+        "simple": r"[!+p]*(?:i|v|<args>)(?:\.i|<args>|<index>|p)*(?:[b<>+*=][!+p]*(?:i|v|<args>)(?:\.i|<args>|<index>|p)*)*",
+        "bin": r"⟨unary⟩⟨prim⟩(?:[b<>+*=]⟨unary⟩⟨prim⟩|o⟨type⟩i?)*",
+        "expr": r"⟨bin⟩(?:\?⟨bin⟩:⟨bin⟩)*",
+        "stmt": r"(?:f<args>|F<head>|e|d|i:)*(?:<block>|s<args><cases>|T(?:<with>)?<block>(?:H<catch><block>)*(?:L<block>)?|⟨class⟩|(?:r⟨expr⟩|r|ki?|(?:m|A)*⟨vars⟩|⟨expr⟩)?;)",
+    },
+)
+
+# ---- Go ---------------------------------------------------------------------------------------------------------------
+_GO = Grammar(
+    rf"{_MARKER}|{_BLOCK}|{_LINE}|{_STRING}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)'|{_NUMBER}i?(?!\w)|{_WORD}|:=|<-|\.\.\.|&\^=?|{_OPS}|\n|\S",
+    _words(P="package", I="import", u="func", y="type", V="var const", s="struct", a="interface", m="map", h="chan", f="if", F="for", e="else", w="switch select", c="case", l="default", r="return", k="break continue goto fallthrough", g="go defer", R="range"),
+    _signs({":=": "D", "<-": "!", "...": "_", "&^": "b", "&^=": "=", "\n": "N"}, "? ~"),
+    {
+        "(": {"args": r"N?(?:⟨arg⟩(?:,N?⟨arg⟩)*_?,?N?)?", "params": r"N?(?:⟨param⟩(?:,N?⟨param⟩)*,?N?)?", "imports": r"(?:N*(?:[i.]?v)?)(?:[N;]+(?:[i.]?v)?)*", "vars": r"(?:[N;]*⟨var⟩)?(?:[N;]+(?:⟨var⟩)?)*", "types": r"(?:[N;]*⟨typedef⟩)?(?:[N;]+(?:⟨typedef⟩)?)*", "assert": r"y"},
+        "[": {"none": r"_?", "index": r"⟨expr⟩|(?:⟨expr⟩)?:(?:⟨expr⟩)?(?::⟨expr⟩)?", "gen": r"⟨type⟩(?:,⟨type⟩)*|(?:i(?:,i)*⟨type⟩)(?:,i⟨type⟩)*"},
+        "{": {"block": r"[N;]*(?:⟨stmt⟩(?:[N;]+|$))*+", "values": r"N?(?:⟨item⟩(?:,N?⟨item⟩)*,?N?)?", "fields": r"[N;]*(?:(?:i(?:,i)*⟨type⟩|\*?⟨name⟩)v?(?:[N;]+|$))*+", "methods": r"[N;]*(?:(?:i<params>(?:⟨result⟩)?|⟨type⟩(?:b⟨type⟩)*)(?:[N;]+|$))*+", "cases": r"[N;]*(?:(?:c⟨simple⟩(?:,N?⟨expr⟩)*|l):[N;]*(?:⟨stmt⟩(?:[N;]+|$))*)*"},
+    },
+    r"N*Pi[N;]+(?:I(?:<imports>|[i.]?v)[N;]+)*(?:⟨decl⟩(?:[N;]+|$))*+",
+    prepare=((r"(?<![iv)\]}pkr])N+", ""), (r"N+(?=$)", "N"), (r"N+", "N"), (r"^N", "")),
+    parts={
+        "name": r"i(?:\.i)?(?:<gen>)?",
+        "type": r"(?:\*|<none>|<index>|m<gen>|!?h!?)*(?:⟨name⟩|s<fields>|a<methods>|u<params>(?:⟨result⟩)?|<params>)",
+        "param": r"(?:i_?)?⟨type⟩|_⟨type⟩|i_⟨type⟩|i",
+        "result": r"<params>|(?:\*|<none>|<index>|m<gen>|!?h!?)*(?:⟨name⟩|s<fields>|a<methods>)",
+        "var": r"i(?:,i)*(?:⟨type⟩)?(?:=⟨expr⟩(?:,N?⟨expr⟩)*)?",
+        "typedef": r"i(?:<gen>)?=?⟨type⟩",
+        "decl": r"u(?:<params>)?i(?:<gen>)?<params>(?:⟨result⟩)?(?:<block>)?|V(?:<vars>|⟨var⟩)|y(?:<types>|⟨typedef⟩)",
+        "unary": r"[!+*&]*",
+        "prim": r"(?:i|v|<args>|(?:<none>|<index>|m<gen>)+\*?⟨name⟩(?:<values>|<args>)|i(?:\.i)?<values>|s<fields><values>|u<params>(?:⟨result⟩)?<block>)(?:\.i|\.<assert>|\.<args>|<args>|<index>|<values>)*",
+        "bin": r"⟨unary⟩⟨prim⟩(?:[b<>+*&]⟨unary⟩⟨prim⟩)*",
+        "expr": r"⟨bin⟩",
+        "arg": r"⟨bin⟩|⟨type⟩",
+        "item": r"(?:(?:⟨bin⟩|<values>):)?(?:⟨bin⟩|&?<values>)",
+        "simple": r"⟨expr⟩(?:,⟨expr⟩)*(?:[=D]R?⟨expr⟩(?:,⟨expr⟩)*|p|!⟨expr⟩)?",
+        "cond": r"(?:⟨simple⟩;)?⟨simple⟩",
+        "stmt": r"(?:i:N?)?(?:f⟨cond⟩<block>(?:ef⟨cond⟩<block>)*(?:e<block>)?|F(?:(?:⟨simple⟩)?;(?:⟨expr⟩)?;(?:⟨simple⟩)?|R⟨expr⟩|⟨simple⟩)?<block>|w(?:(?:⟨simple⟩;)?(?:⟨simple⟩)?)<cases>|r(?:⟨expr⟩(?:,N?⟨expr⟩)*)?|ki?|g⟨expr⟩|V(?:<vars>|⟨var⟩)|y(?:<types>|⟨typedef⟩)|⟨simple⟩|<block>)",
+    },
+)
+
+# ---- Rust -------------------------------------------------------------------------------------------------------------
+_RUST = Grammar(
+    rf"{_MARKER}|{_BLOCK}|{_LINE}|b?r#*\"(?:[^\"]|\"(?!#))*+\"#*|b?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\n]|\\[^\n]+?)'|'{_WORD}(?!')|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?(?:[iuf]\d+|usize|isize)?(?!\w)|0[xob][\da-fA-F_]+(?:[iu]\d+|usize|isize)?(?!\w)|{_WORD}|->|=>|::|\.\.=|\.\.|{_OPS}|\S",
+    _words(u="use", m="mod", n="fn", S="struct union", E="enum", I="impl", T="trait", y="type", c="const static", M="mut", l="let", f="if while", F="for", o="loop", h="match", e="else", r="return break", k="continue", w="where", a="as", j="in", V="pub", q="unsafe async extern", D="dyn ref move box", v="true false", d="crate super self Self"),
+    _signs({"->": "A", "=>": "G", "::": "C", "..": "R", "..=": "R", "#": "#"}, "++ --") | {"~": "X", "|": "|", "||": "O"},
+    {
+        "(": {"args": r"(?:⟨expr⟩(?:,⟨expr⟩)*,?)?", "params": r"(?:&?M?d(?:,|$))?(?:⟨param⟩(?:,⟨param⟩)*,?)?", "types": r"(?:V?⟨type⟩(?:,V?⟨type⟩)*,?)?", "pats": r"(?:⟨pat⟩(?:,⟨pat⟩)*,?)?", "vis": r"d"},
+        "[": {"index": r"⟨expr⟩", "array": r"(?:⟨expr⟩(?:,⟨expr⟩)*,?)?|⟨expr⟩;⟨expr⟩", "tarray": r"⟨type⟩(?:;⟨expr⟩)?", "attr": r"i(?:C i)*.*"},
+        "{": {"block": r"(?:⟨item⟩|⟨stmt⟩)*+(?:⟨expr⟩)?", "fields": r"(?:(?:⟨attr⟩)*(?:⟨vis⟩)?i:⟨type⟩(?:,|$))*", "inits": r"(?:(?:i(?::⟨expr⟩)?|R⟨expr⟩)(?:,|$))*", "items": r"(?:⟨item⟩)*+", "paths": r"(?:⟨path⟩(?:ai)?(?:,|$))*", "variants": r"(?:(?:⟨attr⟩)*i(?:<types>|<fields>)?(?:=⟨expr⟩)?(?:,|$))*", "arms": r"(?:\|?⟨pat⟩(?:\|⟨pat⟩)*(?:f⟨expr⟩)?G(?:<block>,?|⟨expr⟩(?:,|$)))*", "fpats": r"(?:M?i(?::⟨pat⟩)?(?:,|$))*R?"},
+    },
+    r"(?:⟨item⟩)*+",
+    parts={
+        "attr": r"#!?(?:<attr>|<index>|<array>)",
+        "vis": r"V(?:<vis>)?",
+        "gen": r"<[id,:C+=&?<>MD]*>",
+        "path": r"(?:[id]C)*(?:[id]|\*|<paths>)",
+        "name": r"(?:[id]C)*[id](?:⟨gen⟩)?",
+        "type": r"(?:&M?|\*[cM]?|D)*(?:(?:[id]C)*[id](?:⟨gen⟩)?|<tarray>|<types>|n<types>(?:A(?:&M?)*⟨name⟩)?|!)(?:\+⟨name⟩)*",
+        "pat": r"&?M?(?:⟨name⟩(?:<pats>|<fpats>)?|\+?v(?:R\+?v)?|<pats>|R)",
+        "param": r"⟨pat⟩:⟨type⟩",
+        "bounds": r"(?:w⟨name⟩:⟨name⟩(?:\+⟨name⟩)*(?:,⟨name⟩:⟨name⟩(?:\+⟨name⟩)*)*,?)?",
+        "item": r"(?:⟨attr⟩)*(?:⟨vis⟩)?(?:uC?⟨path⟩(?:ai)?;|cM?i:⟨type⟩=⟨expr⟩;|[qc]*v?ni(?:⟨gen⟩)?<params>(?:A⟨type⟩)?⟨bounds⟩(?:<block>|;)|Si(?:⟨gen⟩)?⟨bounds⟩(?:<fields>|<types>;|;)|Ei(?:⟨gen⟩)?<variants>|I(?:⟨gen⟩)?!?⟨type⟩(?:F⟨type⟩)?⟨bounds⟩<items>|q?Ti(?:⟨gen⟩)?(?::⟨name⟩(?:\+⟨name⟩)*)?<items>|mi(?:;|<items>)|yi(?:⟨gen⟩)?(?:=⟨type⟩)?;|i!(?:<args>;|<block>))",
+        "unary": r"(?:[!+*&]|&M)*",
+        "if": r"f(?:l⟨pat⟩=)?⟨bin⟩<block>(?:ef(?:l⟨pat⟩=)?⟨bin⟩<block>)*(?:e<block>)?",
+        "blockish": r"⟨if⟩|F⟨pat⟩j⟨bin⟩<block>|(?:i:)?o<block>|h⟨bin⟩<arms>|q?<block>",
+        "prim": r"(?:(?:[id]C)*[id](?:C⟨gen⟩)?(?:!(?:<args>|<array>|<block>)|<inits>)?|v|<args>|<array>|(?:f⟨cbin⟩<block>(?:ef⟨cbin⟩<block>)*e<block>|h⟨cbin⟩<arms>|q?<block>)|D?(?:O|\|(?:⟨pat⟩(?::⟨type⟩)?(?:,⟨pat⟩(?::⟨type⟩)?)*)?\|)(?:<block>|⟨cbin⟩)|r(?:⟨cbin⟩)?|k)(?:\.(?:i|v)|C⟨gen⟩|<args>|<index>|\?)*",
+        "cprim": r"(?:(?:[id]C)*[id](?:!(?:<args>|<array>))?|v|<args>|<array>)(?:\.(?:i|v)|<args>|<index>|\?)*",
+        "cbin": r"⟨unary⟩⟨cprim⟩(?:(?:[b<>+*&=|O]|R)⟨unary⟩⟨cprim⟩|a⟨name⟩)*",
+        "bin": r"⟨unary⟩⟨prim⟩(?:(?:[b<>+*&=|O]|R)⟨unary⟩⟨prim⟩|a⟨type⟩|R(?![iv]))*",
+        "expr": r"⟨bin⟩|R(?:⟨bin⟩)?",
+        "stmt": r"(?:⟨attr⟩)*(?:l⟨pat⟩(?::⟨type⟩)?(?:=⟨expr⟩)?(?:e<block>)?;|(?:⟨blockish⟩);?|(?:⟨expr⟩)?;)",
+    },
+)
+
+# ---- JavaScript and TypeScript ----------------------------------------------------------------------------------------
+_JS_TOKENS = rf"{_MARKER}|{_BLOCK}|{_LINE}|{_STRING}|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|(?<=[=(,:;!&|?{{}}\n])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[gimsuyd]*|{_NUMBER}n?(?!\w)|[#@]?[^\W\d]?[\w$]+|\$[\w$]*|=>|\.\.\.|===|!==|\*\*=?|\?\?=?|\?\.|>>>=?|{_OPS}|\n|\S"
+_JS_WORDS = _words(V="var let const", u="function", C="class", x="extends", f="if while with", s="switch", F="for", e="else", d="do", r="return throw", k="break continue", w="new", T="try", H="catch", L="finally", I="import", O="export", c="case", l="default", q="async", v="true false null this super", o="in instanceof", X="enum interface package private protected public static implements") | {w: "!" for w in "typeof void delete await yield".split()} | {"static": "m", "get": "i", "of": "j"}
+_JS_SIGNS = _signs({"=>": "a", "...": "_", "===": "b", "!==": "b", "**": "b", "**=": "=", "??": "b", "??=": "=", "?.": ".", ">>>": "b", ">>>=": "=", "\n": "N"}, "& *") | {"&": "b", "*": "*"}
+_JS_PREPARE = ((r"(?<=[,;.:?=b<>+*!a(\[{_oVuCxwIOeFfscqm&|])N+", ""), (r"N+(?=[)\]},;.:?=b<>*a&|])", ""), (r"N+", "N"), (r"^N", ""))
+
+
+def _script(typed: bool) -> Grammar:
+    t = r"(?:\??:⟨type⟩)?" if typed else ""
+    ret = r"(?::⟨type⟩)?" if typed else ""
+    gen = r"(?:⟨gen⟩)?" if typed else ""
+    words = dict(_JS_WORDS)
+    if typed:
+        words |= {"interface": "Y", "type": "Z", "enum": "E", "namespace": "M", "declare": "D", "abstract": "m", "readonly": "m", "public": "m", "private": "m", "protected": "m", "static": "m", "as": "A", "implements": "x", "keyof": "K"}
+        name = "[ijZMDAKm]"
+    else:
+        name = "[ijm]"
+    i = name
+    end = r"(?:[;N]+|(?=$))"
+    types = {
+        "gen": r"<[ivZ,.\[\]|<>xKb= -⿿䀁-俿]*>",
+        "utype": rf"(?:K)?(?:{i}(?:\.{i})*(?:⟨gen⟩)?|v|I<args>|!{i}(?:\.{i})*|!|<params>a⟨utype0⟩|<ptype>|<fields>|<ttuple>)<none>*(?:<tindex>)*",
+        "utype0": rf"(?:{i}(?:\.{i})*(?:⟨gen⟩)?|v|!|<fields>)<none>*",
+        "type": r"b?⟨utype⟩(?:(?:b)⟨utype⟩)*",
+        "member": rf"(?:m)*(?:{i}|v|<index>|<tindexer>)\??(?:⟨gen⟩)?(?:<params>)?(?::⟨type⟩)?",
+    } if typed else {}
+    brackets = {
+        "(": {"args": r"(?:⟨arg⟩(?:,⟨arg⟩)*,?)?", "params": r"(?:⟨param⟩(?:,⟨param⟩)*,?)?", "head": rf"(?:V⟨vars⟩|⟨exprs⟩)?;(?:⟨exprs⟩)?;(?:⟨exprs⟩)?|V?⟨bind⟩[jo]⟨exprs⟩|!?V⟨bind⟩[jo]⟨exprs⟩"},
+        "[": {"none": r"", "array": r"(?:(?:⟨arg⟩)?,)*(?:⟨arg⟩)?", "index": r"⟨exprs⟩", "binds": rf"(?:(?:⟨param⟩)?,)*(?:⟨param⟩)?"},
+        "{": {"block": r"N?(?:⟨stmt⟩)*+", "object": rf"(?:⟨prop⟩(?:,⟨prop⟩)*,?)?", "body": rf"(?:[N;]|⟨method⟩)*+", "names": rf"(?:(?:{i}|l)(?:{i}{i}|A{i}|{i}(?:{i}|l))?(?:,(?:{i}|l)(?:A{i}|{i}{i}|{i}l)?)*,?)?", "cases": r"N?(?:(?:c⟨exprs⟩|l):N?(?:⟨stmt⟩)*)*", "objbind": rf"(?:(?:{i}(?::⟨bind⟩)?(?:=⟨expr⟩)?|_{i})(?:,|$))*"},
+    }
+    if typed:
+        brackets["("]["ptype"] = r"⟨type⟩"
+        brackets["["] |= {"ttuple": r"(?:⟨type⟩(?:,⟨type⟩)*)?", "tindex": r"⟨type⟩", "tindexer": rf"{i}:⟨type⟩"}
+        brackets["{"] |= {"fields": r"N?(?:⟨member⟩(?:[;,N]+|$))*", "enum": rf"N?(?:(?:{i}|v)(?:=⟨expr⟩)?(?:,N?|N?$))*"}
+    parts = types | {
+        "bind": rf"(?:{i}|<binds>|<objbind>)",
+        "param": rf"(?:m*_?⟨bind⟩{t}(?:=⟨expr⟩)?)",
+        "vars": rf"⟨bind⟩{'!?' + ret if typed else ''}(?:=⟨expr⟩)?(?:,⟨bind⟩{ret}(?:=⟨expr⟩)?)*",
+        "func": rf"q?u\*?{i}?{gen}<params>{ret}<block>",
+        "class": rf"m*C(?:{i})?{gen}(?:x⟨prim0⟩{gen}(?:,⟨prim0⟩{gen})*)*<body>",
+        "prim0": rf"(?:{i}|v)(?:\.{i}|<args>)*",
+        "method": rf"(?:@)?(?:m|q)*\*?(?:{i}{{1,2}}|v|<index>){'[?!]?' if typed else ''}(?:{gen}<params>{ret}(?:<block>{'|[;N]' if typed else ''})|{ret}(?:=⟨expr⟩)?(?:[;N]|$))",
+        "prop": rf"_⟨expr⟩|(?:q)?\*?(?:{i}{{1,2}}|v|<index>|[rkVufFeCdswTHLIOclo!])(?::⟨expr⟩|<params>{ret}<block>|=⟨expr⟩)?|{i}",
+        "unary": r"(?:[!+p]|w)*",
+        "prim": rf"(?:q?(?:{i}|<params>{ret if typed else ''})a(?:<block>|⟨cbin⟩)|{i}|v|<args>|<array>|<object>|⟨func⟩|⟨class⟩|I(?:<args>|\.{i}))(?:\.(?:{i}|[rkVufFeCdswTHLIOclo!])|\.?<args>|\.?<index>|v|p{'|!(?=[.;)]|$)' if typed else ''})*",
+        "cprim": rf"(?:{i}|v|<args>|<array>|<object>)(?:\.(?:{i}|l)|<args>|<index>|p)*",
+        "cbin": r"[!+pw]*⟨cprim⟩(?:[b<>+*=o][!+pw]*⟨cprim⟩)*(?:\?[!+pw]*⟨cprim⟩(?:[b<>+*=o][!+pw]*⟨cprim⟩)*:[!+pw]*⟨cprim⟩(?:[b<>+*=o][!+pw]*⟨cprim⟩)*)*",
+        "bin": rf"⟨unary⟩⟨prim⟩(?:[b<>+*=o]⟨unary⟩⟨prim⟩{'|A⟨type⟩' if typed else ''})*",
+        "expr": r"⟨bin⟩(?:\?⟨bin⟩:⟨bin⟩)*",
+        "exprs": r"⟨expr⟩(?:,⟨expr⟩)*",
+        "arg": r"_?⟨expr⟩",
+        "ctl": rf"(?:f<args>N?|F!?<head>N?|eN?|dN?|{i}:N?)",
+        "plain": rf"⟨func⟩|⟨class⟩|s<args><cases>|T<block>N?(?:H(?:<params>|<args>)?<block>N?)?(?:L<block>)?" + (rf"|D?Y{i}{gen}(?:x{i}(?:\.{i})*{gen}(?:,{i}{gen})*)?<fields>|D?V?E{i}<enum>|D?M(?:{i}|v)(?:\.{i})*<block>" if typed else ""),
+        "line": rf"{'D?' if typed else ''}V⟨vars⟩|r(?:⟨exprs⟩)?|k{i}?|⟨exprs⟩" + (rf"|D?Z{i}{gen}=⟨type⟩" if typed else ""),
+        "module": rf"IZ?(?:v|(?:{i}|\*A?{i}{i}?|<names>)(?:,(?:<names>|\*{i}{{1,2}}))?{i}v)|O(?:<names>|\*(?:A?{i}{{0,2}}))(?:{i}v)?|Ol⟨expr⟩",
+        "stmt": rf"(?:O?l?(?:⟨plain⟩)[;N]*|⟨ctl⟩++(?:<block>N?|(?:⟨plain⟩)[;N]*|(?:⟨line⟩)?{end}|;)|O?(?:⟨line⟩){end}|(?:⟨module⟩){end}|<block>[;N]*|[;N])",
+    }
+    return Grammar(_JS_TOKENS, words, _JS_SIGNS, brackets, r"(?:⟨stmt⟩)*+", _JS_PREPARE, parts=parts)
+
+
+_JS, _TS = _script(False), _script(True)
+
+# ---- Ruby -------------------------------------------------------------------------------------------------------------
+# Keyword blocks are brackets too: { stands for the opening keyword and } for end; literal braces are written { } as well.
+_RUBY_PARTS = {
+    "param": r"(?:[*&]|b)?i(?:=⟨bin⟩)?|k(?:⟨bin⟩)?|<params>",
+    "pair": r"(?:⟨bin⟩G|k)N?⟨expr⟩",
+    "arg": r"[*&]?⟨expr⟩|k(?:⟨expr⟩)?|⟨bin⟩G⟨expr⟩",
+    "unary": r"[!+*&]*",
+    "kw": "Ā",
+    "prim": r"(?:i|v|<args>|<array>|<hash>|A(?:<params>)?(?:<inline>|ā)|Ā|y)(?:\.N?[iCd]|\.<args>|<args>|<array>|<inline>|ā)*",
+    "bin": r"⟨unary⟩⟨prim⟩(?:[b<>+*&|=]N?⟨unary⟩⟨prim⟩)*",
+    "expr": r"⟨bin⟩(?:\?N?⟨bin⟩:N?⟨bin⟩)*",
+    "call": r"i(?:\.i)*(?:⟨carg⟩)(?:,N?⟨carg⟩)*(?:ā)?",
+    "carg": r"[&*]?(?:v|i|<array>)(?:\.i|<args>|<array>|<inline>)*(?:[b+*<>]⟨unary⟩⟨prim⟩)*|k(?:⟨expr⟩)?|v?G⟨expr⟩",
+    "stmt": r"(?:⟨expr⟩(?:,⟨expr⟩)*(?:=N?⟨expr⟩(?:,⟨expr⟩)*)?|⟨call⟩|r(?:⟨expr⟩(?:,⟨expr⟩)*)?|y⟨expr⟩(?:,⟨expr⟩)*)(?:o(?:⟨expr⟩|r(?:⟨expr⟩)?))*(?:[\u0102\u0103R]⟨expr⟩)?",
+    "body": r"[N;]*(?:⟨stmt⟩(?:[N;]+|$))*+",
+}
+_RUBY = Grammar(
+    rf"{_MARKER}|^=begin\b.*?^=end\b[^\n]*|#[^\n]*|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|{_NUMBER}(?!\w)|:{_WORD}[?!]?|:\"(?:[^\"\\]|\\.)*+\"|@@?{_WORD}|\$\w+|{_WORD}:(?!:)|{_WORD}[?!](?!=)|{_WORD}|=>|->|::|&\.|\.\.\.?|\*\*=?|<=>|===|=~|!~|\|\|=|&&=|{_OPS}|\n|\S",
+    _words(d="def", C="class", M="module", D="do", f="if unless", w="while until", F="for", j="in", c="case", h="when", e="else", E="elsif", B="begin", R="rescue", L="ensure", z="end", r="return next break redo retry", y="yield", o="and or", v="true false nil self __FILE__", t="then") | {"not": "!", "super": "i", "defined?": "!"},
+    _signs({"=>": "G", "->": "A", "::": ".", "&.": ".", "..": "b", "...": "b", "**": "b", "**=": "=", "<=>": "b", "===": "b", "=~": "b", "!~": "b", "||=": "=", "&&=": "=", "|": "|", "\n": "N"}, "++ --") | {"++": "X", "--": "X"},
+    {
+        "(": {"args": r"N?(?:⟨arg⟩(?:,N?⟨arg⟩)*,?N?)?", "params": r"N?(?:⟨param⟩(?:,N?⟨param⟩)*N?)?"},
+        "[": {"array": r"N?(?:⟨arg⟩(?:,N?⟨arg⟩)*,?N?)?"},
+        "{": {"hash": r"N?(?:⟨pair⟩(?:,N?⟨pair⟩)*,?N?)?", "inline": r"(?:\|⟨param⟩(?:,⟨param⟩)*\|)?N?⟨body⟩"},
+    },
+    r"⟨body⟩",
+    strings="\"':",
+    comments=("#", "=begin"),
+    parts=_RUBY_PARTS,
+)
+
+
+class _Ruby:
+    """Ruby's keyword blocks are reduced together with its brackets."""
+
+    inner = re.compile(r"[dCMDfwFcB][^dCMDfwFcBz(){}\[\]]*z")
+
+    def __init__(self, grammar: Grammar) -> None:
+        self.g = grammar
+        p = {name: self._grown(name) for name in ("stmt", "body", "expr", "param")}
+        body, expr, param = p["body"], p["expr"], p["param"]
+        rescue = rf"(?:R[^N;]*[N;]{body})*(?:e{body})?(?:L{body})?"
+        rule = {
+            "d": rf"d(?:[iv]\.)?(?:[iCv]=?|[b<>+*=!])(?:<params>|{param}(?:,{param})*)?(?:[N;]{body}{rescue}|=N?{expr})z|d(?:[iv]\.)?i[N;]?z",
+            "C": rf"C(?:i(?:\.i)*(?:<{expr})?|bv)[N;]{body}z",
+            "M": rf"Mi(?:\.i)*[N;]{body}z",
+            "D": rf"D(?:\|{param}(?:,{param})*\|)?{body}{rescue}z",
+            "f": rf"f{expr}(?:[N;]+t?|t){body}(?:E{expr}(?:[N;]+t?|t){body})*(?:e{body})?z",
+            "w": rf"w{expr}[N;]{body}z",
+            "F": rf"Fi(?:,i)*j{expr}[N;]{body}z",
+            "c": rf"c(?:{expr})?[N;]+(?:h{expr}(?:,N?{expr})*(?:[N;]+|t){body})+(?:e{body})?z",
+            "B": rf"B{body}{rescue}z",
+        }
+        self.rule = {k: self._compile(v) for k, v in rule.items()}
+        self.known: dict[str, str] = {}
+
+    def _grown(self, name: str) -> str:
+        rule, parts = _RUBY_PARTS[name], _RUBY_PARTS
+        for _ in range(12):
+            rule = re.sub(r"⟨(\w+)⟩", lambda m: f"(?:{parts[m[1]]})", rule)
+        return f"(?:{rule})"
+
+    def _compile(self, rule: str) -> re.Pattern:
+        sets = {}
+        for kind, names in (("(", ("args", "params")), ("[", ("array",)), ("{", ("hash", "inline"))):
+            for bit, name in enumerate(names):
+                sets[name] = "".join(chr(self.g.kinds[kind] + mask) for mask in range(1, 1 << len(names)) if mask >> bit & 1)
+        return re.compile(re.sub(r"<(\w+)>", lambda m: "[" + sets[m[1]] + "]", rule))
+
+    def _reduce(self, match: re.Match) -> str:
+        whole = match[0]
+        letter = self.known.get(whole)
+        if letter is None:
+            letter = ("ā" if whole[0] == "D" else "Ā") if self.rule[whole[0]].fullmatch(whole) else "X"
+            if len(self.known) < REMEMBERED and len(whole) < 300:
+                self.known[whole] = letter
+        return letter
+
+    def valid(self, text: str) -> bool:
+        g = self.g
+        text = re.split(r"^__END__$", text, maxsplit=1, flags=re.M)[0]
+        tokens = g.tokens(text)
+        shape = "".join(map(g.classes.__getitem__, tokens))
+        if "X" in shape:
+            return False
+        shape = re.sub(r"(?<=[,.=b<>+*!&|?:G({\[])N+", "", shape)
+        shape = re.sub(r"N+(?=\.)", "", shape)
+        # an if, unless, while or until after something on its line is a modifier and opens nothing; so is a while's do
+        shape = re.sub(r"(?<=[iv)\]}zrk])([fw])(?=[^N;]*)", lambda m: "Ă" if m[1] == "f" else "ă", shape)
+        shape = re.sub(r"((?:w|F)[^N;D]*)D", r"\1", shape)
+        shape = re.sub(r"(?<=\.)[CdfcB]", "i", shape)
+        n = 1
+        while n:
+            shape, a = g.innermost.subn(g._reduce, shape)
+            shape, b = self.inner.subn(self._reduce, shape)
+            n = a + b
+            if n and "X" in shape:
+                return False
+        return g.top.fullmatch(shape) is not None
+
+
+def _python(text: str) -> bool:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    except (RecursionError, MemoryError):
+        return True  # nested beyond what the parser holds, which is no matter of syntax
+    return True
+
+
+PARSERS: dict[str, Callable[[str], bool]] = {
+    "py": _python, "rs": _RUST.valid, "go": _GO.valid, "js": _JS.valid, "ts": _TS.valid, "java": _JAVA.valid, "c": _C.valid, "rb": _Ruby(_RUBY).valid,
+}
