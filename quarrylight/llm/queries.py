@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, packing, parsing, provenance
+from quarrylight.llm import bpe, garbled, packing, parsing, provenance
 from quarrylight.plans.registry import Registry
 from quarrylight.sources.shared import cut
 from quarrylight.sources.tables import table
@@ -69,3 +69,14 @@ def p9_fill(spark: SparkSession, data_dir: str) -> DataFrame:
     used = _packed(spark, data_dir).groupBy("container_type", "container_id").agg(F.sum("n_tokens").alias("used"))
     capacity = F.broadcast(table(spark, data_dir, "containers"))  # a fixed table
     return used.groupBy("container_type").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens")).join(capacity, "container_type").withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+@REGISTRY.add("p10_found")
+def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return garbled.restore(table(spark, data_dir, "documents").select("doc_id", "text")).select("doc_id")
+
+
+@REGISTRY.add("p10_restored")
+def p10_restored(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The garbled documents with the chain that garbled them and their text as far as it can be restored."""
+    return garbled.restore(table(spark, data_dir, "documents").select("doc_id", "text"))
