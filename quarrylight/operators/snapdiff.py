@@ -66,7 +66,8 @@ def diff(records: DataFrame, group: list[str], key: list[str], values: list[str]
         arrays = {s: (g["_k"].to_numpy(), g["_r"].to_numpy()) for s, g in pdf.groupby("snapshot_id", sort=False)}
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
         found = [(after, differing(arrays.get(before, none), arrays.get(after, none))) for before, after in steps]
-        return pd.DataFrame({"_step": np.concatenate([np.full(len(k), s, object) for s, k in found] or [[]]), "_k": np.concatenate([k for _, k in found] or [np.empty(0, np.int64)])})
+        steps_of = np.concatenate([np.empty(0, object), *(np.full(len(k), s, object) for s, k in found)])
+        return pd.DataFrame({"_step": steps_of, "_k": np.concatenate([none[0], *(k for _, k in found)])})
 
     candidates = compact.groupBy("_bucket").applyInPandas(compare, "_step string, _k long")
     before_of = F.create_map(*[F.lit(x) for before, after in steps for x in (after, before)]) if steps else F.create_map(F.lit(""), F.lit(""))
