@@ -89,6 +89,8 @@ class Grammar:
             return "v"
         if token[0] == "#" and len(token) > 1:
             return ""
+        if token[0] == "@" and "@" in signs and len(token) > 1:
+            return signs["@"]
         if token[0].isidentifier() or token[0] in "@$" and len(token) > 1:
             return "i"
         return "X"
@@ -143,7 +145,7 @@ _C = Grammar(
     },
     r"(?:t*⟨base⟩\**i<params>(?:<block>|;)|y?⟨decl⟩;|y⟨base⟩\**i;|(?:s|E)i?(?:<fields>|<names>)(?:⟨declr⟩(?:,⟨declr⟩)*)?;|;)*+",
     parts={
-        "base": r"t*(?:si(?:<fields>)?|Ei(?:<names>)?|i|t)t*",
+        "base": r"t*(?:si?<fields>|si|Ei?<names>|Ei|i|t)t*",
         "param": r"⟨base⟩(?:\**i?<index>*|<pointer><params>)",
         "declr": r"\**i<index>*(?:=(?:⟨expr⟩|<values>))?",
         "decl": r"⟨base⟩⟨declr⟩(?:,⟨declr⟩)*",
@@ -160,7 +162,7 @@ _C = Grammar(
 _JAVA = Grammar(
     rf"{_MARKER}|{_BLOCK}|{_LINE}|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|'(?:[^'\\\n]|\\[^\n]+?)'|{_NUMBER}[lLfFdD]?(?!\w)|@{_WORD}|{_WORD}|->|::|\.\.\.|>>>=?|{_OPS}|\S",
     _words(t="int long short byte char float double boolean void", m="public private protected static final abstract native synchronized transient volatile strictfp default sealed", C="class interface enum", f="if while", s="switch", F="for", e="else", d="do", r="return throw", k="break continue", w="new", T="try", H="catch", L="finally", P="package", I="import", x="extends implements throws permits", c="case", o="instanceof", v="true false null", X="const goto"),
-    _signs({"->": "a", "::": "D", "...": "V", ">>>": "b", ">>>=": "="}, "&") | {"&": "b"},
+    _signs({"@": "A", "->": "a", "::": "D", "...": "V", ">>>": "b", ">>>=": "="}, "&") | {"&": "b"},
     {
         "(": {"args": r"(?:⟨expr⟩(?:,⟨expr⟩)*)?", "type": r"⟨type⟩", "params": r"(?:⟨param⟩(?:,⟨param⟩)*)?", "head": r"(?:m*⟨vars⟩|⟨expr⟩(?:,⟨expr⟩)*)?;(?:⟨expr⟩)?;(?:⟨expr⟩(?:,⟨expr⟩)*)?|m*⟨type⟩i:⟨expr⟩", "names": r"i(?:,i)*", "catch": r"m*⟨type⟩(?:b⟨type⟩)*i", "with": r"m*⟨type⟩i=⟨expr⟩(?:;m*⟨type⟩i=⟨expr⟩)*;?"},
         "[": {"none": r"", "index": r"⟨expr⟩"},
