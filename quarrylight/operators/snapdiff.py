@@ -47,20 +47,13 @@ def differing(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndar
     return np.unique(np.concatenate([_missing(*old, *new), _missing(*new, *old)]))
 
 
-def diff(records: DataFrame, group: list[str], key: list[str], values: list[str], snapshots: list[str], buckets: int | None = None) -> DataFrame:
-    """(snapshot_id, *group, change, *key): changes between each two consecutive snapshots of ``snapshots``.
+def candidates(compact: DataFrame, snapshots: list[str], buckets: int) -> DataFrame:
+    """(_step, _k, later, snapshot_id): key hashes that differ between two consecutive snapshots, once for each of the two.
 
-    records  has snapshot_id, the columns of group and key, and values; records of other snapshots are ignored
-    group    columns that are part of the identity but stand for kinds of records
-    change   added, removed or changed; snapshot_id is the later snapshot
+    compact  (snapshot_id, _k, _r): hashes of the key and of key and values of each record
     """
     steps = consecutive(snapshots)
-    identity = [*group, *key]
-    hashed = records.withColumn("_k", F.xxhash64(*identity)).withColumn("_r", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in identity], *[x for c in values for x in (F.col(c).isNull(), F.col(c))]))
-    if buckets is None:
-        buckets = max(1, -(-records.count() // ROWS_PER_BUCKET))
     buckets = max(buckets, 12)
-    compact = hashed.select("snapshot_id", "_k", "_r").distinct().withColumn("_bucket", F.pmod(F.col("_k"), F.lit(buckets)).cast("int"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         arrays = {s: (g["_k"].to_numpy(), g["_r"].to_numpy()) for s, g in pdf.groupby("snapshot_id", sort=False)}
@@ -69,10 +62,39 @@ def diff(records: DataFrame, group: list[str], key: list[str], values: list[str]
         steps_of = np.concatenate([np.empty(0, object), *(np.full(len(k), s, object) for s, k in found)])
         return pd.DataFrame({"_step": steps_of, "_k": np.concatenate([none[0], *(k for _, k in found)])})
 
-    candidates = compact.groupBy("_bucket").applyInPandas(compare, "_step string, _k long")
+    bucketed = compact.select("snapshot_id", "_k", "_r", F.pmod(F.col("_k"), F.lit(buckets)).cast("int").alias("_bucket"))
+    found = bucketed.groupBy("_bucket").applyInPandas(compare, "_step string, _k long")
     before_of = F.create_map(*[F.lit(x) for before, after in steps for x in (after, before)]) if steps else F.create_map(F.lit(""), F.lit(""))
-    sides = candidates.select("_step", "_k", F.explode(F.array(F.struct(F.lit(True).alias("later"), F.col("_step").alias("snapshot_id")), F.struct(F.lit(False).alias("later"), before_of[F.col("_step")].alias("snapshot_id")))).alias("_side")).select("_step", "_k", "_side.later", "_side.snapshot_id")
-    full = hashed.select("snapshot_id", "_k", *identity, F.struct(*values).alias("_v"))
-    found = full.join(sides, ["snapshot_id", "_k"]).groupBy("_step", *identity).agg(F.collect_set(F.when(F.col("later"), F.col("_v"))).alias("_new"), F.collect_set(F.when(~F.col("later"), F.col("_v"))).alias("_old"))
+    sides = F.array(F.struct(F.lit(True).alias("later"), F.col("_step").alias("snapshot_id")), F.struct(F.lit(False).alias("later"), before_of[F.col("_step")].alias("snapshot_id")))
+    return found.select("_step", "_k", F.explode(sides).alias("_side")).select("_step", "_k", "_side.later", "_side.snapshot_id")
+
+
+def classified(full: DataFrame, group: list[str], key: list[str], values: list[str]) -> DataFrame:
+    """(snapshot_id, *group, change, *key) by exact comparison of the full values of candidates.
+
+    full  (_step, later, *group, *key, *values): the records behind the candidates, of both snapshots
+    """
+    sets = full.groupBy("_step", *group, *key).agg(*[F.collect_set(F.when(F.col("later") == later, F.struct(*values))).alias(name) for later, name in ((True, "_new"), (False, "_old"))])
     change = F.when(F.size("_old") == 0, "added").when(F.size("_new") == 0, "removed").when(F.array_sort("_new") != F.array_sort("_old"), "changed")
-    return found.select(F.col("_step").alias("snapshot_id"), *group, change.alias("change"), *key).where("change IS NOT NULL")
+    return sets.select(F.col("_step").alias("snapshot_id"), *group, change.alias("change"), *key).where("change IS NOT NULL")
+
+
+def row_hash(identity: list, values: list[str]):
+    """Hash of a record's identity and values, in which NULL differs from every value."""
+    return F.xxhash64(F.lit("row"), *identity, *[x for c in values for x in (F.col(c).isNull(), F.col(c))])
+
+
+def diff(records: DataFrame, group: list[str], key: list[str], values: list[str], snapshots: list[str], buckets: int | None = None) -> DataFrame:
+    """(snapshot_id, *group, change, *key): changes between each two consecutive snapshots of ``snapshots``.
+
+    records  has snapshot_id, the columns of group and key, and values; records of other snapshots are ignored
+    group    columns that are part of the identity but stand for kinds of records
+    change   added, removed or changed; snapshot_id is the later snapshot
+    """
+    identity = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (*group, *key)]
+    hashed = records.withColumn("_k", F.xxhash64(*identity)).withColumn("_r", row_hash(identity, values))
+    if buckets is None:
+        buckets = -(-records.count() // ROWS_PER_BUCKET)
+    found = candidates(hashed.select("snapshot_id", "_k", "_r").distinct(), snapshots, buckets)
+    full = hashed.select("snapshot_id", "_k", *group, *key, *values).join(found, ["snapshot_id", "_k"])
+    return classified(full, group, key, values)

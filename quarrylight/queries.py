@@ -9,9 +9,9 @@ from quarrylight.operators.hierarchy import cycle_ids, hierarchy
 from quarrylight.operators.incremental import PartitionedRefresh, pending_files
 from quarrylight.operators.orphans import OrphanTracker
 from quarrylight.operators.skew import salted_aggregate
-from quarrylight.operators.snapdiff import diff
+from quarrylight.operators.snapdiff import ROWS_PER_BUCKET, candidates, classified, row_hash
 from quarrylight.plans.registry import Registry
-from quarrylight.sources.shared import shared_dir
+from quarrylight.sources.shared import cut, shared_dir
 from quarrylight.sources.tables import table
 
 REGISTRY = Registry()
@@ -178,28 +178,43 @@ def p6_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     return tracker.counts()
 
 
-def _edge_paths(edges: DataFrame, snap_files: DataFrame, core: DataFrame) -> DataFrame:
-    """(snapshot_id, path, target_path, import_type) of the edges both of whose ends are in their snapshot."""
-    known = snap_files.select("snapshot_id", "id", "path").distinct()
-    core = F.broadcast(core.select(F.col("file_id").alias("id"), F.col("path").alias("core_path")))  # a fixed table of 40 rows
-    out = edges.select("snapshot_id", "source_file_id", "target_file_id", "import_type").where("source_file_id IS NOT NULL AND target_file_id IS NOT NULL").distinct()
-    for end, name in (("target_file_id", "target_path"), ("source_file_id", "path")):
-        # The hottest targets are core files and get their path without a shuffle; a NULL id spreads them over the join.
-        out = out.join(core.withColumnRenamed("id", end), end, "left")
-        out = out.withColumn("_id", F.when(F.col("core_path").isNull(), F.col(end))).drop(end)
-        out = out.join(known.select("snapshot_id", F.col("id").alias("_id"), F.col("path").alias("_path")), ["snapshot_id", "_id"], "left")
-        out = out.withColumn(name, F.coalesce("core_path", "_path")).drop("core_path", "_path", "_id").where(F.col(name).isNotNull())
+def _with_ends(edges: DataFrame, known: DataFrame, core: DataFrame) -> DataFrame:
+    """Edges with source_v and target_v, what ``known`` (snapshot_id, id, v) or the core (id, v) says of their ends.
+
+    Edges with an unknown end are left out. The hottest targets are core files, which a broadcast of the fixed table of 40
+    rows answers; such rows then join by a hash that no file has, so they are spread instead of meeting in one task.
+    """
+    core = F.broadcast(core.select("id", F.col("v").alias("_core")))
+    out = edges
+    for end, name in (("target_file_id", "target_v"), ("source_file_id", "source_v")):
+        out = out.join(core.withColumnRenamed("id", end), end, "left").withColumn("_done", F.col("_core").isNotNull())
+        out = out.withColumn("_id", F.when(F.col("_done"), F.xxhash64("source_file_id", "target_file_id")).otherwise(F.col(end)))
+        of = known.select("snapshot_id", F.col("id").alias("_id"), F.col("v").alias("_v"), F.lit(False).alias("_done"))
+        out = out.join(of, ["snapshot_id", "_id", "_done"], "left").withColumn(name, F.coalesce("_core", "_v")).drop("_core", "_v", "_id", "_done").where(F.col(name).isNotNull())
     return out
 
 
-def _records(spark: SparkSession, data_dir: str) -> tuple[DataFrame, list[str]]:
-    snap_files = table(spark, data_dir, "snap_files").select("snapshot_id", "id", "path", "language", "line_count")
-    edges = table(spark, data_dir, "dependency_edges")
-    core = table(spark, data_dir, "core_files").select("file_id", "path")
-    of_files = snap_files.select("snapshot_id", F.lit("file").alias("record_kind"), "path", F.lit("").alias("target_path"), "language", "line_count", F.lit(None).cast("string").alias("import_type")).where("path IS NOT NULL")
-    of_edges = _edge_paths(edges, snap_files, core).select("snapshot_id", F.lit("edge").alias("record_kind"), "path", "target_path", F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("line_count"), "import_type")
-    snapshots = [r[0] for r in snap_files.select("snapshot_id").union(edges.select("snapshot_id")).where("snapshot_id IS NOT NULL").distinct().collect()]  # one row per snapshot
-    return of_files.unionByName(of_edges), snapshots
+def _changes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Changes of files and edges. Edges are compared by the hashes of their paths; paths are fetched for what differs."""
+    files = table(spark, data_dir, "snap_files").select("snapshot_id", "id", "path", "language", "line_count").where("path IS NOT NULL")
+    edges = table(spark, data_dir, "dependency_edges").select("snapshot_id", "source_file_id", "target_file_id", "import_type")
+    core = table(spark, data_dir, "core_files").select(F.col("file_id").alias("id"), F.col("path").alias("v"))
+    known = files.select("snapshot_id", "id", F.col("path").alias("v")).distinct()
+    snapshots = [r[0] for r in files.select("snapshot_id").union(edges.select("snapshot_id")).where("snapshot_id IS NOT NULL").distinct().collect()]  # one row per snapshot
+    buckets = -(-(files.count() + edges.count()) // ROWS_PER_BUCKET)  # counts from the Parquet footers
+
+    whole = edges.where("source_file_id IS NOT NULL AND target_file_id IS NOT NULL").distinct()
+    hashed = cut(_with_ends(whole, known.withColumn("v", F.xxhash64("v")), core.withColumn("v", F.xxhash64("v"))), "edge-hashes")
+    ends = [F.lit("edge"), F.col("source_v"), F.col("target_v")]
+    edge_rows = hashed.select("snapshot_id", "source_file_id", "target_file_id", "import_type", F.xxhash64(*ends).alias("_k"), row_hash(ends, ["import_type"]).alias("_r"))
+    path = [F.lit("file"), F.col("path")]
+    file_rows = files.drop("id").distinct().select("*", F.xxhash64(*path).alias("_k"), row_hash(path, ["language", "line_count"]).alias("_r"))
+    found = cut(candidates(edge_rows.select("snapshot_id", "_k", "_r").unionByName(file_rows.select("snapshot_id", "_k", "_r")), snapshots, buckets), "differing-keys")
+
+    of_edges = _with_ends(edge_rows.join(found, ["snapshot_id", "_k"]).select("snapshot_id", "source_file_id", "target_file_id", "import_type", "_step", "later"), known, core)
+    of_edges = of_edges.select("_step", "later", F.lit("edge").alias("record_kind"), F.col("source_v").alias("path"), F.col("target_v").alias("target_path"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("line_count"), "import_type")
+    of_files = file_rows.join(found, ["snapshot_id", "_k"]).select("_step", "later", F.lit("file").alias("record_kind"), "path", F.lit("").alias("target_path"), "language", "line_count", F.lit(None).cast("string").alias("import_type"))
+    return classified(of_edges.unionByName(of_files), ["record_kind"], ["path", "target_path"], ["language", "line_count", "import_type"])
 
 
 _P7_BASE = """
@@ -220,6 +235,4 @@ _P7_BASE = """
 
 @REGISTRY.add("p7_found", f"WITH {_P7_BASE} SELECT DISTINCT snapshot_id, record_kind, change, path, target_path FROM changes")
 def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    records, snapshots = _records(spark, data_dir)
-    changes = diff(records, ["record_kind"], ["path", "target_path"], ["language", "line_count", "import_type"], snapshots)
-    return changes.select("snapshot_id", "record_kind", "change", "path", "target_path")
+    return _changes(spark, data_dir).select("snapshot_id", "record_kind", "change", "path", "target_path")
