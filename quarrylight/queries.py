@@ -16,6 +16,12 @@ from quarrylight.sources.tables import table
 
 REGISTRY = Registry()
 HEAVY_SHARE = 0.015
+STATE_ROWS = 2_000_000  # rows per partition of a state table
+
+
+def _partitions(*tables: DataFrame) -> int:
+    """Partitions for the state of tables, from their row counts in the Parquet footers."""
+    return max(32, -(-sum(t.count() for t in tables) // STATE_ROWS))
 
 
 @REGISTRY.add(
@@ -34,7 +40,7 @@ def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
         "files": table(spark, data_dir, "files").select("file_id", "last_indexed", "hash"),
         "symbols": table(spark, data_dir, "symbols").select("file_id", "file_hash", "run_id"),
     }
-    refresh = PartitionedRefresh(spark, shared_dir(spark, "pending-files"), "file_id")
+    refresh = PartitionedRefresh(spark, shared_dir(spark, "pending-files"), "file_id", _partitions(*sources.values()))
     refresh.run(sources, lambda s: pending_files(s["files"], s["symbols"], status))
     return refresh.result()
 
@@ -152,7 +158,7 @@ _P6_REFS = """
 
 def _tracked(spark: SparkSession, data_dir: str) -> OrphanTracker:
     symbols, edges, files, snap_files, core = _tables6(spark, data_dir)
-    tracker = OrphanTracker(spark, shared_dir(spark, "orphans"))
+    tracker = OrphanTracker(spark, shared_dir(spark, "orphans"), _partitions(symbols, edges))
     tracker.advance(references=_not_core(_references(symbols, edges), core), arrived=_parents(files, snap_files))
     return tracker
 
@@ -167,7 +173,7 @@ def p6_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     """The same state fed in two batches, split where half of the load times are past: late rows meet what waits for them."""
     symbols, edges, files, snap_files, core = _tables6(spark, data_dir)
     middle = F.lit(edges.agg(F.expr("timestamp_micros(bigint(avg(unix_micros(cast(loaded_at AS timestamp)))))")).first()[0])
-    tracker = OrphanTracker(spark, shared_dir(spark, "orphans"))
+    tracker = OrphanTracker(spark, shared_dir(spark, "orphans"), _partitions(symbols, edges))
     for first in (True, False):
         def now(df: DataFrame, time: str) -> DataFrame:
             early = F.coalesce(F.col(time).cast("timestamp") < middle, F.lit(False))
