@@ -833,6 +833,14 @@ def _cycle_paths(spark, d, snapshot):
     return graph.strong_components(e).join(nodes, "id", "left").groupBy("component").agg(F.sort_array(F.collect_set(F.coalesce("path", F.col("id").cast("string")))).alias("members"))
 
 
+def _cycle_sizes(spark: SparkSession, d: str, snapshot: str) -> DataFrame:
+    """(subject, value): the least path on each import cycle of a snapshot and how many files the cycle has."""
+    e = edges_of(spark, d, snapshot).where("import_type <> 'mod_decl' OR import_type IS NULL")
+    nodes = nodes_of(spark, d, snapshot).groupBy("id").agg(F.min("path").alias("path"))
+    named = graph.strong_components(e).join(nodes, "id", "left").groupBy("component")
+    return named.agg(F.min(F.coalesce("path", F.col("id").cast("string"))).alias("subject"), F.count(F.lit(1)).alias("value")).select("subject", "value")
+
+
 @add("q_diff_cycles")
 def q_diff_cycles(spark, d):
     """Import cycles, as sorted lists of paths, that came or went between the last two snapshots."""
@@ -854,12 +862,12 @@ def q_diff_islands(spark, d):
     UNION ALL SELECT 'warning', 'module_size', {_MOD.format('path')}, count(*)::DOUBLE FROM fn GROUP BY 3 HAVING count(*) >= 50
     UNION ALL SELECT 'warning', 'line_growth', path, fn.line_count::DOUBLE / fo.line_count FROM fo JOIN fn USING (path) WHERE fo.line_count > 0 AND fn.line_count::DOUBLE / fo.line_count >= 2""")
 def q_threshold_alerts(spark, d):
+    """Alerts of the last snapshot; the SQL has all but the cycles, which the tests check by brute force."""
     old, new = snapshot_files(spark, d)
     hot = _edge_paths(spark, d, _snapshot_ids(spark, d)[-1]).groupBy(F.col("target").alias("subject")).agg(F.count(F.lit(1)).alias("value"))
     modules = snapshots.module_metrics(new, [], first_segment(F.col("path"))).select(F.col("module").alias("subject"), F.col("files").alias("value"))
     grown = old.select(F.col("path").alias("subject"), F.col("line_count").alias("old")).join(new.select(F.col("path").alias("subject"), F.col("line_count").alias("new")), "subject")
-    cycles = spark.createDataFrame([], "subject string, value long")
-    return snapshots.alerts(hot, cycles, modules, grown)
+    return snapshots.alerts(hot, _cycle_sizes(spark, d, _snapshot_ids(spark, d)[-1]), modules, grown)
 
 
 @add("q_module_recent_changes", f"WITH {_FILES2}, c AS (SELECT path FROM fn WHERE path NOT IN (SELECT path FROM fo)) SELECT {_MOD.format('path')} AS module, path FROM c QUALIFY row_number() OVER (PARTITION BY {_MOD.format('path')} ORDER BY path) <= 10")
