@@ -666,10 +666,16 @@ def q_reading_order(spark, d):
 
 @add("q_analysis_summary", f"WITH RECURSIVE {_EN}, {_BARREL} SELECT (SELECT count(*) FROM (SELECT dst FROM e WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) >= 2)) AS hotspots, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM alive) AND NOT {_ENTRY}) AS unused, (SELECT count(*) FROM n) AS files")
 def q_analysis_summary(spark, d):
+    """One row of counts; the SQL has hotspots, unused and files, the tests check all of it by brute force."""
     e, nodes = edges_of(spark, d), nodes_of(spark, d)
-    hot = graph.hotspots(e).agg(F.count(F.lit(1)).alias("hotspots"))
-    idle = graph.unused(nodes, e, e.where("import_type = 'mod_decl'")).agg(F.count(F.lit(1)).alias("unused"))
-    return hot.join(F.broadcast(idle)).join(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("files"))))  # one row each
+    one = F.lit(1)
+    hot = graph.hotspots(e).agg(F.count(one).alias("hotspots"))
+    idle = graph.unused(nodes, e, e.where("import_type = 'mod_decl'")).agg(F.count(one).alias("unused"))
+    cycles = graph.strong_components(e.where("import_type <> 'mod_decl' OR import_type IS NULL")).agg(F.count_distinct("component").alias("cycles"))
+    sizes = graph.components(nodes, e).groupBy("component").agg(F.count(one).alias("n"))
+    islands = sizes.agg(F.count(one).alias("islands"), F.count_if(F.col("n") >= 2).alias("multi_file_islands"), F.count_if(F.col("n") == 1).alias("singleton_islands"))
+    out = hot.join(F.broadcast(idle)).join(F.broadcast(nodes.agg(F.count(one).alias("files"))))  # one row each
+    return out.join(F.broadcast(cycles)).join(F.broadcast(islands))
 
 
 @add("q_path_lookup", f"WITH {_N}, w AS (SELECT DISTINCT split_part(path, '/', -1) AS wanted FROM n) SELECT w.wanted, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(n.path) END AS path FROM w JOIN (SELECT DISTINCT path FROM n) n ON n.path = w.wanted OR ends_with(n.path, '/' || w.wanted) GROUP BY w.wanted")

@@ -54,3 +54,19 @@ def test_threshold_alerts_have_the_cycles(spark, tmp_path):
     want = {(min(paths[i] for i in c), float(len(c))) for c in cycles_by_brute_force(edges) if len(c) >= 3}
     got = [(r.subject, r.value) for r in q.q_threshold_alerts(spark, data).collect() if r.category == "circular_dependency"]
     assert ("m0/f03.rs", 4.0) in want and sorted(got) == sorted(want)
+
+
+def test_analysis_summary_by_brute_force(spark, tmp_path):
+    data, paths, edges = snapshot_tables(spark, tmp_path, 2)
+    both = {(a, b) for a, b, _ in edges if b is not None}
+    both |= {(b, a) for a, b in both}
+    islands = {frozenset({i} | reachable(i, both)) for i in paths}
+    into = [b for _, b, _ in edges if b is not None]
+    exports = {(a, b) for a, b, t in edges if t == "mod_decl"}
+    alive = set(into).union(*(reachable(b, exports) for b in into))
+    want = {
+        "hotspots": sum(into.count(b) >= 2 for b in set(into)), "unused": len(set(paths) - alive), "files": len(paths), "cycles": len(cycles_by_brute_force(edges)),
+        "islands": len(islands), "multi_file_islands": sum(len(i) > 1 for i in islands), "singleton_islands": sum(len(i) == 1 for i in islands),
+    }
+    assert want["cycles"] >= 3 and want["singleton_islands"] >= 1 and want["multi_file_islands"] >= 2
+    assert [r.asDict() for r in q.q_analysis_summary(spark, data).collect()] == [want]
