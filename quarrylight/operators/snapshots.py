@@ -64,6 +64,18 @@ def module_metrics(files: DataFrame, by: list[str], module: Column) -> DataFrame
     return files.groupBy(*by, module.alias("module")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"))
 
 
+def fingerprints(rows: DataFrame, by: list[str], path: Column, state: Column) -> DataFrame:
+    """(*by, files, fingerprint) over path and state of all rows, in no order that one task would have to make.
+
+    Rows hash to leaves; the sorted leaves of one of 4,096 buckets hash to one digest, the digests by bucket to the result.
+    """
+    leaf = F.sha2(F.concat(F.coalesce(path, F.lit("")), F.lit(":"), F.coalesce(state, F.lit("")), F.lit("\n")).cast("binary"), 256)
+    leaves = rows.select(*by, leaf.alias("_leaf"))
+    buckets = leaves.groupBy(*by, F.substring("_leaf", 1, 3).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_leaf")), "").cast("binary"), 256).alias("_digest"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))), lambda x: x["_digest"])
+    return buckets.groupBy(*by).agg(F.sum("_n").alias("files"), F.sha2(F.array_join(digests, "").cast("binary"), 256).alias("fingerprint"))
+
+
 def alerts(hotspots: DataFrame, cycles: DataFrame, modules: DataFrame, grown: DataFrame) -> DataFrame:
     """(severity, category, subject, value) of what passes its threshold.
 

@@ -544,10 +544,14 @@ def q_module_map(spark, d):
 
 @add("q_fingerprint", "SELECT snapshot_id, count(*) AS files FROM (SELECT DISTINCT snapshot_id, id, path, language, line_count FROM snap_files) GROUP BY 1")
 def q_fingerprint(spark, d):
-    """Files per snapshot beside a fingerprint of their paths, additive so that no task orders them all."""
+    """Files and fingerprint of the index (snapshot_id 'index', over path and content hash) and of each snapshot.
+
+    Snapshots keep no content hash, so theirs is over path, language and line count. The SQL has their counts only.
+    """
+    index = snapshots.fingerprints(files_of(spark, d, False).withColumn("snapshot_id", F.lit("index")), ["snapshot_id"], F.col("path"), F.col("hash"))
     files = table(spark, d, "snap_files").select("snapshot_id", "id", "path", "language", "line_count").distinct()
-    out = files.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.xxhash64("path", "language", "line_count").cast("decimal(20,0)")).alias("fingerprint"))
-    return out.select("snapshot_id", "files")
+    state = F.concat(F.coalesce("language", F.lit("")), F.lit(":"), F.coalesce(F.col("line_count").cast("string"), F.lit("")))
+    return snapshots.fingerprints(files, ["snapshot_id"], F.col("path"), state).unionByName(index)
 
 
 @add("q_evaluation_score", "SELECT * FROM (VALUES (0, 0, 0.8::DOUBLE, true), (0, 2, 0.2, false), (5, 1, 1.0, true), (1, 1, 0.7, true), (150, 1, 0.5, true), (900, 1, 0.2, false)) t(total, queries, score, good)")

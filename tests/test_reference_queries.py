@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 import random
 
 from quarrylight import reference_queries as q
 
 SNAP = "snapshot_id string, id long, path string, language string, line_count int"
 EDGES = "snapshot_id string, source_file_id long, target_file_id long, import_type string"
+FILES = "file_id long, path string, language string, content string, hash string, line_count int, branch string, last_indexed timestamp"
 CORE = "file_id long, path string, language string, line_count int"
 
 
@@ -70,3 +73,24 @@ def test_analysis_summary_by_brute_force(spark, tmp_path):
     }
     assert want["cycles"] >= 3 and want["singleton_islands"] >= 1 and want["multi_file_islands"] >= 2
     assert [r.asDict() for r in q.q_analysis_summary(spark, data).collect()] == [want]
+
+
+def fingerprint(lines):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    leaves = sorted(map(sha, lines))
+    buckets = sorted({x[:3] for x in leaves})
+    return sha("".join(sha("".join(x for x in leaves if x[:3] == b)) for b in buckets))
+
+
+def test_fingerprint_of_index_and_snapshots(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    files = [(i, f"a/{i}.rs", "rust", "", f"h{i}", 1, "main", at) for i in range(300)]
+    newer = (7, "a/7.rs", "rust", "x", "new", 1, "main", at + dt.timedelta(days=1))
+    snaps = [(s, i, f"a/{i}.rs", "rust", 9 if (s, i) == ("b", 5) else 1) for s in "abc" for i in range(300)]
+    data = tables(spark, tmp_path, files=(files + [newer], FILES), snap_files=(snaps + snaps[:9], SNAP))
+    got = {r.snapshot_id: (r.files, r.fingerprint) for r in q.q_fingerprint(spark, data).collect()}
+    want = {s: (300, fingerprint(f"{p}:{x}:{n}\n" for z, _, p, x, n in snaps if z == s)) for s in "abc"}
+    want["index"] = (300, fingerprint(f"{f[1]}:{'new' if f[0] == 7 else f[4]}\n" for f in files))
+    assert got == want and got["a"] == got["c"] != got["b"]
