@@ -116,6 +116,84 @@ def extract(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.where("language IS NOT NULL AND content IS NOT NULL").select(*keys, *[c for c in ("language", "content") if c not in keys]).mapInPandas(run, f"{kinds}, name string, kind string, start_line int, end_line int, preview string")
 
 
+_ATTRIBUTE = re.compile(r"#!?\[|@[^\W\d_]")
+
+
+def doc_comment(rows: list[str], start_line: int, language: str | None) -> str | None:
+    """The documentation of the definition at a line (from 1), without comment marks; None if there is none.
+
+    Python has it in a docstring up to 3 lines below, the others in the comment above, attributes and decorators skipped.
+    """
+    if not 1 <= start_line <= len(rows):
+        return None
+    if language == "python":
+        return _docstring(rows, start_line)
+    i = start_line - 2
+    while i >= 0 and _ATTRIBUTE.match(rows[i].strip()):
+        i -= 1
+    if i < 0:
+        return None
+    if language not in ("ruby", "go") and rows[i].strip().endswith("*/"):
+        return _block_comment(rows, i)
+    mark = {"ruby": r"#(?!!)", "go": "//", "rust": r"///+|//!"}.get(language, "//+")
+    out = []
+    while i >= 0 and (m := re.match(mark, rows[i].strip())):
+        out.append(rows[i].strip()[m.end() :].strip())
+        i -= 1
+    return "\n".join(reversed(out)).strip() or None
+
+
+def _docstring(rows: list[str], start_line: int) -> str | None:
+    for i in range(start_line, min(len(rows), start_line + 3)):
+        text = rows[i].strip()
+        if not text:
+            continue
+        quote = text[:3]
+        if quote not in ('"""', "'''"):
+            return None
+        if len(text) > 6 and text.endswith(quote) and text[3:-3].strip():
+            return text[3:-3].strip()
+        out = [text[3:].strip()]
+        for row in rows[i + 1 :]:
+            if quote in row:
+                out.append(row.strip().removesuffix(quote).strip())
+                break
+            out.append(row.strip())
+        return "\n".join(out).strip() or None
+    return None
+
+
+def _block_comment(rows: list[str], end: int) -> str | None:
+    """The block comment whose last line is given; None if the line ends a comment behind code."""
+    out = []
+    for i in range(end, -1, -1):
+        text = rows[i].strip()
+        if i < end and "*/" in text:
+            return None
+        text = text.removesuffix("*/")
+        if text.startswith("/*"):
+            out.append(text[2:].lstrip("*").rstrip("*").strip())
+            return "\n".join(x for x in reversed(out) if x).strip() or None
+        if "/*" in text:
+            return None
+        out.append(text.strip().strip("*").strip() if i == end else text.lstrip("*").strip())
+    return None
+
+
+def doc_comments(files: DataFrame) -> DataFrame:
+    """(path, symbol, start_line, comment) of the documented ones of defs (start_line, symbol) in files (path, language, content, defs)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path, language, content, defs in zip(batch["path"], batch["language"], batch["content"], batch["defs"]):
+                rows = content.split("\n")
+                found += [(path, d["symbol"], d["start_line"], c) for d in defs if (c := doc_comment(rows, d["start_line"], language))]
+            yield pd.DataFrame(found, columns=["path", "symbol", "start_line", "comment"])
+
+    return files.where("content IS NOT NULL").select("path", "language", "content", "defs").mapInPandas(run, "path string, symbol string, start_line int, comment string")
+
+
 #: Node kinds of structural patterns and the symbol kinds that they stand for; fixed values.
 NODE_KINDS = {
     "function_item": ("Function", "Method"), "function_definition": ("Function", "Method"), "function_declaration": ("Function",), "method_declaration": ("Method",), "method_definition": ("Method",), "method": ("Method",),

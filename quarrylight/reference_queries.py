@@ -38,12 +38,12 @@ def files_of(spark: SparkSession, d: str, content: bool = True) -> DataFrame:
     return corpus(table(spark, d, "files"), content)
 
 
-def symbols_of(spark: SparkSession, d: str) -> DataFrame:
-    """(path, language, start_line, end_line, kind, symbol, preview) of the current versions, from completed runs."""
+def symbols_of(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    """(path, language, start_line, end_line, kind, symbol, preview, *keys) of the current versions, from completed runs."""
     completed = run_states(table(spark, d, "indexing_status")).where("state = 'completed'").select("run_id")
     cached = table(spark, d, "symbols").where("name IS NOT NULL").join(completed, "run_id", "left_semi")
     current = files_of(spark, d, False).select("file_id", F.col("hash").alias("file_hash"), F.col("path").alias("p"), "language")
-    return cached.join(current, ["file_id", "file_hash"]).select(F.col("p").alias("path"), "language", "start_line", "end_line", "kind", F.col("name").alias("symbol"), "preview").distinct()
+    return cached.join(current, ["file_id", "file_hash"]).select(F.col("p").alias("path"), "language", "start_line", "end_line", "kind", F.col("name").alias("symbol"), "preview", *keys).distinct()
 
 
 def _snapshot_ids(spark: SparkSession, d: str, name: str = "snap_files") -> list[str]:
@@ -419,9 +419,11 @@ def q_key_symbols(spark, d):
 
 @add("q_doc_comments", f"WITH {_SYM}, {_LIN.split(_CUR, 1)[1].lstrip(', ')} SELECT DISTINCT s.path, s.symbol, s.start_line, l.line AS comment FROM sym s JOIN lin l ON l.path = s.path AND l.line_no = s.start_line - 1 WHERE regexp_matches(l.line, '^\\s*(//|#[^!\\[])')")
 def q_doc_comments(spark, d):
-    """The comment line right above each definition."""
-    above = lines(files_of(spark, d).select("path", "content")).where(F.col("line").rlike(r"^\s*(//|#[^!\[])")).select("path", (F.col("line_no") + 1).alias("start_line"), F.col("line").alias("comment"))
-    return symbols_of(spark, d).select("path", "symbol", "start_line").distinct().join(above, ["path", "start_line"])
+    """The whole documentation of each definition; the SQL has only single lines right above, the tests check constructed files."""
+    keys = ("file_id", "file_hash")
+    defs = symbols_of(spark, d, *keys).where("start_line IS NOT NULL").groupBy(*keys).agg(F.collect_set(F.struct("start_line", "symbol")).alias("defs"))
+    files = files_of(spark, d).select("file_id", F.col("hash").alias("file_hash"), "path", "language", "content")
+    return symbols.doc_comments(files.join(defs, list(keys))).distinct()
 
 
 # ---- roll-ups ---------------------------------------------------------------------------------------------------------
