@@ -17,6 +17,7 @@ from itertools import islice
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 REMEMBERED = 50_000
+SHORT = 32  # tokens of the longest statement that is remembered
 HEADS = (16, 64, 256)  # tokens that are tried before a whole text is
 END = ("", "", "", "", "", "")
 MARKER = r"^(?:<{7}|={7}|>{7}|\|{7})(?![<>=|])"  # conflict markers at the start of a line
@@ -53,6 +54,21 @@ class Reader:
         self.p = 0
         self._mates: dict[int, int] | None = None
 
+    def recalled(self, end: str, known: set) -> tuple[int, tuple] | None:
+        """Reads on past the next ``end`` if what stands before it has been read before; else its place and the kinds.
+
+        A statement that ended there once ends there again, because no rule looks past the end of a statement.
+        """
+        try:
+            at = self.k.index(end, self.p, self.p + SHORT)
+        except ValueError:
+            return -1, ()
+        key = tuple(self.k[self.p : at])
+        if key in known:
+            self.p = at + 1
+            return None
+        return at, key
+
     def need(self, kind: str) -> None:
         if self.k[self.p] != kind:
             raise Bad
@@ -110,11 +126,16 @@ class Grammar:
     def lexed(self, tokens: list[str]) -> list[str]:
         return list(filter(None, map(self.kinds.__getitem__, tokens)))
 
-    def head(self, text: str, most: int) -> list[str]:
-        return self.lexed([m[0] for m in islice(self.tokens.finditer(text), most)])
+    def bare(self, text: str) -> str:
+        """The text that is read."""
+        return text
+
+    def part(self, kinds: list[str]) -> list[str]:
+        """What of the kinds of a text's beginning can be judged without the rest."""
+        return kinds
 
     def whole(self, text: str) -> list[str]:
-        return self.lexed(self.tokens.findall(text))
+        return self.lexed(self.tokens.findall(self.bare(text)))
 
     def holds(self, kinds: list[str]) -> bool:
         try:
@@ -132,9 +153,11 @@ class Grammar:
 
     def foreign(self, text: str) -> bool:
         """``valid``, for a text of perhaps another language: its first tokens are tried before all are made."""
+        found, tokens = self.tokens.finditer(self.bare(text)), []
         for most in HEADS:
+            tokens += [m[0] for m in islice(found, most - len(tokens))]
             try:
-                self.reader(self.head(text, most)).file()
+                self.reader(self.part(self.lexed(tokens))).file()
             except Bad:
                 return False
             except IndexError:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from quarrylight.llm.grammars.base import BLOCK, END, LINE, MARKER, STRING, WORD, Bad, Grammar, Reader
+from quarrylight.llm.grammars.base import BLOCK, END, LINE, MARKER, REMEMBERED, STRING, WORD, Bad, Grammar, Reader
 
 _TOKENS = rf"{MARKER}|{BLOCK}|{LINE}|^[ \t]*\#(?:\\\r?\n|/\*(?:[^*]|\*(?!/))*+\*/|[^\n])*|(?:L|u8?|U)?{STRING}|(?:L|u8?|U)?'(?:[^'\\\n]|\\.)+'|\.?\d(?:[eEpP][+-]|[\w.'])*|{WORD}|->|\.\.\.|<<=|>>=|\+\+|--|&&|\|\||[+\-*/%&|^<>=!]=|<<|>>|\\\r?\n|\S"
 _NUMBER = re.compile(r"(?:0[xX][\da-fA-F]+(?:\.[\da-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01]+|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)[uUlLfFzZ]*")
@@ -27,6 +27,7 @@ _BINARY = set("+ - * / % & | ^ < > && || << >> == != <= >= = += -= *= /= %= &= |
 _PREFIX = set("+ - * & ! ~ ++ -- &&".split())
 _TYPE_START = {"t", "q", "struct", "enum", "typeof", "attr"}
 _NAME = {"i", "M"}
+_KNOWN: set[tuple] = set()  # statements that have been read
 
 
 def _kind(token: str) -> str:
@@ -465,9 +466,14 @@ class _C(Reader):
             self.need(",")
 
     def block(self) -> None:
-        k = self.k
+        k, known = self.k, _KNOWN
         while k[self.p] != "}":
+            short = self.recalled(";", known)
+            if short is None:
+                continue
             self.stmt()
+            if self.p == short[0] + 1 and len(known) < REMEMBERED:
+                known.add(short[1])
         self.p += 1
 
     def stmt(self) -> None:
@@ -619,9 +625,8 @@ def _branches(kinds: list[str], last: bool) -> list[str]:
 
 
 class _CGrammar(Grammar):
-    def head(self, text: str, most: int) -> list[str]:
-        kinds = super().head(text, most)
-        return [x for x in kinds if x[0] != "#"] if not any(x[0] == "#" for x in kinds) else kinds[: next(i for i, x in enumerate(kinds) if x[0] == "#")]
+    def part(self, kinds: list[str]) -> list[str]:
+        return kinds[: next((i for i, x in enumerate(kinds) if x[0] == "#"), len(kinds))]
 
     def holds(self, kinds: list[str]) -> bool:
         kinds = kinds[: -len(END)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.llm.grammars.base import BLOCK, LINE, MARKER, STRING, WORD, Bad, Grammar, Reader
+from quarrylight.llm.grammars.base import BLOCK, LINE, MARKER, REMEMBERED, STRING, WORD, Bad, Grammar, Reader
 
 _TOKENS = rf"{MARKER}|{BLOCK}|{LINE}|{STRING}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)'|0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?i?(?!\w)|0[bBoO][\d_]+i?(?!\w)|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?(?!\w)|{WORD}|:=|<-|\.\.\.|&\^=?|<<=|>>=|\+\+|--|&&|\|\||[+\-*/%&|^<>=!]=|<<|>>|\n|\S"
 _KEYWORDS = set("package import func type var const struct interface map chan if for else switch select case default return break continue goto fallthrough go defer range".split())
@@ -11,6 +11,7 @@ _BINARY = set("+ - * / % & | ^ < > && || << >> &^ == != <= >=".split())
 _ASSIGN = set("= := += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 _PREFIX = set("+ - * & ! ^ <- ~".split())
 _ENDS = {"i", "v", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
+_KNOWN: set[tuple] = set()  # statements that have been read
 _TYPE_START = {"i", "*", "[", "map", "chan", "func", "struct", "interface", "<-", "("}
 
 
@@ -389,11 +390,17 @@ class _Go(Reader):
     def block(self) -> None:
         self.need("{")
         bare, self.bare = self.bare, False
+        known = _KNOWN
         while not self.take("}"):
             if self.take(";"):
                 continue
+            short = self.recalled(";", known)
+            if short is None:
+                continue
             self.stmt()
             self.ends()
+            if self.p == short[0] + 1 and len(known) < REMEMBERED:
+                known.add(short[1])
         self.bare = bare
 
     def simple(self) -> None:

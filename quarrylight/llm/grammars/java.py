@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.llm.grammars.base import BLOCK, LINE, MARKER, STRING, WORD, Bad, Grammar, Reader
+from quarrylight.llm.grammars.base import BLOCK, LINE, MARKER, REMEMBERED, STRING, WORD, Bad, Grammar, Reader
 
 _TOKENS = rf"{MARKER}|{BLOCK}|{LINE}|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{STRING}|'(?:[^'\\\n]|\\[^\n]+?)'|0[xX][\da-fA-F_]*(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?[lLfFdD]?(?![\w$])|0[bB][01_]+[lL]?(?![\w$])|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?(?![\w$])|non-sealed\b|[^\W\d][\w$]*|\$[\w$]*|->|::|\.\.\.|<<=|\+\+|--|&&|\|\||[+\-*/%&|^<>=!]=|<<|\S"
 _PRIMITIVES = set("int long short byte char float double boolean".split())
@@ -12,6 +12,7 @@ _SIGNS = set("( ) [ ] { } , ; . : ? @ = + - * / % & | ^ < > ! ~ -> :: ... ++ --
 _BINARY = set("+ - * / % & | ^ < > && || << == != <= >= = += -= *= /= %= &= |= ^= <<=".split())
 _PREFIX = set("+ - ! ~ ++ --".split())
 _NAME = {"i", "record", "permits", "yield", "when", "sealed"}
+_KNOWN: set[tuple] = set()  # statements that have been read
 _AFTER_CAST = _NAME | {"v", "(", "!", "~", "this", "super", "new", "t", "void", "switch"}
 
 
@@ -528,9 +529,14 @@ class _Java(Reader):
 
     def block(self) -> None:
         case, self.case = self.case, False
-        k = self.k
+        k, known = self.k, _KNOWN
         while k[self.p] != "}":
+            short = self.recalled(";", known)
+            if short is None:
+                continue
             self.stmt()
+            if self.p == short[0] + 1 and len(known) < REMEMBERED:
+                known.add(short[1])
         self.p += 1
         self.case = case
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from quarrylight.llm.grammars.base import END, HEADS, Bad, Kinds, Reader
+from quarrylight.llm.grammars.base import END, HEADS, REMEMBERED, Bad, Kinds, Reader
 
 _KEYWORDS = set("def class module do if unless while until for in case when else elsif begin rescue ensure end return next break redo retry yield and or not then super alias undef defined? BEGIN END".split())
 _VALUES = set("true false nil self __FILE__ __LINE__ __method__ __dir__ __ENCODING__".split())
@@ -44,6 +44,7 @@ class _Lexer:
         self.spaces = bytearray()
         self.inner: list = [] if inner is None else inner
         self.waiting: list[tuple[str, bool, bool]] = []
+        self.space = self.depth = 0
         self.run()
 
     def put(self, kind: str) -> None:
@@ -53,27 +54,23 @@ class _Lexer:
 
     def run(self) -> None:
         text, match = self.text, _TOKENS.match
-        self.space, depth, size = 0, 0, len(text)
+        size = len(text)
         most = self.most or size + 1
+        kinds = self.kinds
         while self.at < size:
-            if len(self.kinds) >= most:
-                return
-            if (self.at == 0 or text[self.at - 1] == "\n") and text[self.at] in "<=>|" and _CONFLICT.match(text, self.at):
-                self.put("X")
-                return
             m = match(text, self.at)
-            kind, token = m.lastgroup, m[0]
-            last = self.kinds[-1] if self.kinds else "\n"
-            ends = last in _VALUE_ENDS
+            kind = m.lastgroup
             if kind == "space":
                 self.space, self.at = 1, m.end()
                 continue
-            if kind == "comment":
-                self.at = m.end()
-                continue
-            if kind == "begin":
+            if kind == "comment" or kind == "begin":
                 self.at = m.end()
                 continue
+            if len(kinds) >= most:
+                return
+            token = m[0]
+            last = kinds[-1] if kinds else "\n"
+            ends = last in _VALUE_ENDS
             if kind == "line":
                 if self.waiting:
                     self.at += 1
@@ -90,6 +87,7 @@ class _Lexer:
                     if last != "\n":
                         self.put("\n")
                     if text.startswith("__END__", self.at) and text[self.at + 7 : self.at + 8] in ("", "\n", "\r"):
+                        self.at = size
                         return
                 self.space = 1
                 continue
@@ -134,7 +132,7 @@ class _Lexer:
                     self.put("s")
                     continue
                 token = "<<"
-            if kind == "bad":
+            if kind == "bad" or token[0] in "<=>|" and (self.at == 0 or text[self.at - 1] == "\n") and _CONFLICT.match(text, self.at):
                 self.put("X")
                 return
             self.at = m.start() + len(token)
@@ -188,13 +186,13 @@ class _Lexer:
                     self.put("v")
                     continue
             if token in ("{", "(", "["):
-                depth += 1
+                self.depth += 1
                 self.put(token)
                 continue
             if token in ("}", ")", "]"):
-                if self.until == "}" and token == "}" and depth == 0:
+                if self.until == "}" and token == "}" and self.depth == 0:
                     return
-                depth -= 1
+                self.depth -= 1
                 self.put(token)
                 continue
             if token == ";":
@@ -229,7 +227,7 @@ class _Lexer:
                 if interpolates:
                     code = _Lexer(text, at, "}", self.inner)
                     self.inner.append((code.kinds, code.spaces))
-                    at = code.at + 1
+                    at = code.at
             elif m[0] == close:
                 if depth == 0:
                     break
@@ -252,7 +250,7 @@ class _Lexer:
                     if m[0] == "#{":
                         code = _Lexer(text, at, "}", self.inner)
                         self.inner.append((code.kinds, code.spaces))
-                        at = code.at + 1
+                        at = code.at
             self.at = min(len(text), end.end() + 1)
         self.waiting = []
 
@@ -262,6 +260,10 @@ _MODIFIERS = {"if", "unless", "while", "until", "rescue"}
 _STARTS = {"i", "i?", "C", "v", "s", "ivar", "self", "label", "->", "not", "defined?", "super", "yield", "case", "if", "unless", "while", "begin", "def", "class", "!", "~", "..", "...", "nil"}
 
 
+#: Statements that have been read, with the spaces within them.
+_KNOWN: dict[tuple, set[bytes]] = {}
+
+
 class _Ruby(Reader):
     no_do = False  # in the head of a loop, where do begins its body
 
@@ -286,10 +288,20 @@ class _Ruby(Reader):
             raise Bad
 
     def stmts(self) -> None:
-        k = self.k
+        k, known = self.k, _KNOWN
         self.lines()
         while k[self.p] not in ("", "end", "}", ")", "else", "elsif", "when", "in", "rescue", "ensure"):
+            at = self.p
+            short = self.recalled("\n", known)
+            if short is None:
+                spaces = bytes(self.spaces[at : self.p])
+                if spaces in known[tuple(k[at : self.p - 1])]:
+                    self.lines()
+                    continue
+                self.p, short = at, (self.p - 1, tuple(k[at : self.p - 1]))
             self.stmt()
+            if self.p == short[0] and len(known) < REMEMBERED and not self.no_do:
+                known.setdefault(short[1], set()).add(bytes(self.spaces[at : self.p + 1]))
             if k[self.p] == "\n":
                 self.lines()
             elif k[self.p] not in ("", "end", "}", ")", "else", "elsif", "when", "in", "rescue", "ensure"):
@@ -368,24 +380,16 @@ class _Ruby(Reader):
 
     def targets_ahead(self) -> bool:
         """Whether a comma and an equals sign stand on this line outside of brackets."""
-        k, at, comma, depth = self.k, self.p, self.k[self.p] == "*", 0
+        k, at, comma = self.k, self.p, self.k[self.p] == "*"
         while True:
             t = k[at]
             if t in ("(", "[", "{"):
-                depth += 1
-            elif t in (")", "]", "}"):
-                depth -= 1
-                if depth < 0:
-                    return False
-            elif t == "":
-                return False
-            elif t in ("\n", "do", "if", "unless", "label", "=>", "?", "s", "|", "||", "&&", "yield") and depth == 0:
-                return False
-            elif depth == 0 and t == ",":
+                at = self.mate(at)
+            elif t == ",":
                 comma = True
-            elif depth == 0 and t in _ASSIGN:
+            elif t in _ASSIGN:
                 return comma and t == "="
-            elif depth == 0 and t not in ("i", "ivar", "C", "self", ".", "&.", "::", "*"):
+            elif t not in ("i", "ivar", "C", "self", ".", "&.", "::", "*"):
                 return False
             at += 1
 
@@ -994,9 +998,14 @@ class RubyGrammar:
         return True
 
     def foreign(self, text: str) -> bool:
+        code = None
         for most in HEADS:
             try:
-                code = _Lexer(text, most=most)
+                if code is None:
+                    code = _Lexer(text, most=most)
+                else:
+                    code.most = most
+                    code.run()
                 _Ruby(code.kinds, code.spaces).file()
             except (_Unclosed, Bad):
                 return False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.llm.grammars.base import LINE, MARKER, WORD, Bad, Grammar, Reader
+from quarrylight.llm.grammars.base import LINE, MARKER, REMEMBERED, WORD, Bad, Grammar, Reader
 
 _COMMENT = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
 for _ in range(4):  # comments nest
@@ -16,6 +16,7 @@ _BINARY = set("+ - * / % & | ^ < > && || << == != <= >= = += -= *= /= %= &= |= ^
 _PREFIX = {"-", "!", "*", "&", "&&"}
 _NAME = {"i", "union", "auto", "default", "macro_rules", "raw", "safe"}
 _PATH = _NAME | {"crate", "super", "self", "Self"}
+_KNOWN: set[tuple] = set()  # statements that have been read
 _BLOCKS = {"if", "match", "loop", "while", "for", "{", "unsafe"}
 _ENDS_EXPR = {")", "]", "}", ",", ";", "=>", "", "else", ":"}
 
@@ -647,9 +648,19 @@ class _Rust(Reader):
         """The rest of a block after its brace."""
         k = self.k
         bare, self.bare = self.bare, False
-        while not self.take("}"):
+        known = _KNOWN
+        short = (-1, ())
+        while True:
+            if self.p == short[0] + 1 and len(known) < REMEMBERED:
+                known.add(short[1])
+            if self.take("}"):
+                break
             if self.take(";"):
                 continue
+            short = self.recalled(";", known)
+            if short is None:
+                short = (-1, ())
+                continue
             if k[self.p] == "#" and k[self.p + 1] == "!":
                 self.attributes()
                 continue
@@ -969,13 +980,10 @@ class _Rust(Reader):
 
 
 class _RustGrammar(Grammar):
-    def head(self, text: str, most: int) -> list[str]:
-        return super().head(text.removeprefix(text[: text.find("\n") + 1] if text.startswith("#!") and not text.startswith("#![") else ""), most)
-
-    def whole(self, text: str) -> list[str]:
+    def bare(self, text: str) -> str:
         if text.startswith("#!") and not text.startswith("#!["):
-            text = text[text.find("\n") + 1 :] if "\n" in text else ""
-        return super().whole(text)
+            return text[text.find("\n") + 1 :] if "\n" in text else ""
+        return text
 
 
 RUST = _RustGrammar(_TOKENS, _kind, _Rust)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from quarrylight.llm.grammars.base import BLOCK, END, HEADS, LINE, MARKER, STRING, Bad, Kinds, Reader
+from quarrylight.llm.grammars.base import BLOCK, END, HEADS, LINE, MARKER, REMEMBERED, STRING, Bad, Kinds, Reader
 
 _NAMED = r"[^\W\d][\w$]*|\$[\w$]*|\\u[\da-fA-F{}]+[\w$]*"
 _TOKENS = re.compile(
@@ -149,6 +149,7 @@ def _template(text: str, at: int) -> tuple[str, int]:
 
 class _Script(Reader):
     typed = False
+    known: set[tuple] = set()  # statements that have been read
     no_in = False
 
     def __init__(self, kinds: list[str], breaks: bytearray) -> None:
@@ -156,6 +157,14 @@ class _Script(Reader):
         self.breaks = breaks
         self.no_arrow: set[int] = set()
         self.no_types: set[int] = set()
+        self.no_args: set[int] = set()
+
+    def forget(self) -> None:
+        """Places have moved."""
+        self._mates = None
+        self.no_arrow.clear()
+        self.no_types.clear()
+        self.no_args.clear()
 
     def attempt(self, rule) -> bool:
         no_in = self.no_in
@@ -190,8 +199,17 @@ class _Script(Reader):
         k = self.k
         self.need("{")
         no_in, self.no_in = self.no_in, False
+        known, breaks = self.known, self.breaks
         while k[self.p] != "}":
+            at = self.p
+            short = self.recalled(";", known)
+            if short is None:
+                if breaks.find(1, at + 1, self.p) < 0:
+                    continue
+                self.p, short = at, (-1, ())  # a line that ends within may end a statement
             self.stmt()
+            if self.p == short[0] + 1 and len(known) < REMEMBERED and breaks.find(1, at + 1, self.p) < 0:
+                known.add(short[1])
         self.p += 1
         self.no_in = no_in
 
@@ -210,7 +228,7 @@ class _Script(Reader):
             self.p += 2
             self.variables()
             self.semicolon()
-        elif t == "var" or t == "const" or t == "let" and (k[self.p + 1] in _NAME and k[self.p + 1] != "of" or k[self.p + 1] in ("[", "{")) or t == "using" and k[self.p + 1] == "i" and not self.breaks[self.p + 1]:
+        elif t == "var" or t == "const" or t == "let" and (k[self.p + 1] in _NAME and (k[self.p + 1] != "of" or k[self.p + 2] in ("=", ";", ",")) or k[self.p + 1] in ("[", "{")) or t == "using" and k[self.p + 1] == "i" and not self.breaks[self.p + 1]:
             if t == "const" and k[self.p + 1] == "enum" and self.typed:
                 self.p += 1
                 self.enum()
@@ -889,7 +907,7 @@ class _Script(Reader):
                 self.template()
             elif self.typed and t == "!" and not self.breaks[self.p]:
                 self.p += 1
-            elif self.typed and (t == "<" or t == "<<") and self.p not in self.no_types:
+            elif self.typed and t == "<" and self.p not in self.no_types:
                 at = self.p
                 if not self.attempt(self.type_args) or k[self.p] not in ("(", "`", "`{", ")", "]", ",", ";", ":", ".", "?.", "}", "", "=", "==", "===") and not self.breaks[self.p]:
                     self.p = at
@@ -915,6 +933,7 @@ class _Script(Reader):
 
 class _Typed(_Script):
     typed = True
+    known: set[tuple] = set()
 
     def annotation(self) -> None:
         if self.take(":"):
@@ -952,13 +971,21 @@ class _Typed(_Script):
                 return
 
     def type_args(self) -> None:
+        at = self.p
+        if at in self.no_args:
+            raise Bad
+        try:
+            self.type_list()
+        except Bad:
+            self.no_args.add(at)
+            raise
+
+    def type_list(self) -> None:
         k = self.k
         if k[self.p] == "<<":
             k[self.p : self.p + 1] = ["<", "<"]
             self.breaks.insert(self.p, 0)
-            self._mates = None
-            self.no_arrow.clear()
-            self.no_types.clear()
+            self.forget()
         self.need("<")
         while True:
             self.type()
@@ -967,9 +994,7 @@ class _Typed(_Script):
             if k[self.p] == ">=":
                 k[self.p : self.p + 1] = [">", "="]
                 self.breaks.insert(self.p, 0)
-                self._mates = None
-                self.no_arrow.clear()
-                self.no_types.clear()
+                self.forget()
                 self.p += 1
                 return
             self.need(",")
@@ -1208,6 +1233,9 @@ class _Typed(_Script):
         return True
 
 
+_LAST: tuple[str, list[str], bytearray] = ("", [], bytearray(b"\1" * len(END)))
+
+
 class ScriptGrammar:
     def __init__(self, reader: type[_Script]) -> None:
         self.reader = reader
@@ -1217,8 +1245,10 @@ class ScriptGrammar:
         return lexed(_bare(text))[0]
 
     def make(self, text: str) -> _Script:
-        kinds, breaks = lexed(_bare(text))
-        return self.reader([*kinds, *END], breaks)
+        global _LAST
+        if _LAST[0] != text:  # both grammars read the same tokens
+            _LAST = (text, *lexed(_bare(text)))
+        return self.reader([*_LAST[1], *END], _LAST[2][:])
 
     def valid(self, text: str) -> bool:
         reader = self.make(text)
