@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +10,34 @@ from quarrylight.functions.paths import clean_path, clean_path_sql, language_of,
 from quarrylight.functions.text import LINES_SQL, line_array
 
 
+def _located(files: DataFrame) -> DataFrame | None:
+    """The rows with the file and the place in it that hold them, for tables of files; None for others."""
+    try:
+        return files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return None
+
+
 def corpus(files: DataFrame, content: bool = True) -> DataFrame:
     """(file_id, path, language, content, hash, line_count, branch, last_indexed) of the current row of each file.
 
-    The current keys are found on narrow columns and joined back, and repeats go by a distinct over all columns, so a
-    filter on the content runs at the scan and only what passes it is shuffled. Without content, it is not read.
+    The current row, of repeats one, is found on narrow columns: it is known by its place in its file, so the texts are
+    only read where they are and meet a set of places. A filter on the content runs at the scan and only what passes it
+    is ever moved. Without content, it is not read. Tables that come from no files are told apart by their values.
     """
+    path = clean_path(F.col("path"))
+    columns = ["file_id", path.alias("path"), language_of(path).alias("language"), *["content"] * content, "hash", "line_count", "branch", "last_indexed"]
+    located = _located(files)
+    if located is not None and content:
+        places = located.where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("last_indexed", "hash", "_file", "_row")).alias("_k")).select("_k._file", "_k._row")
+        return located.join(places, ["_file", "_row"], "left_semi").select(*columns)
+    if located is not None:
+        rest = ["path", "line_count", "branch"]
+        newest = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("last_indexed", "hash", *rest)).alias("_k"))
+        return newest.select("file_id", "_k.*").select(*columns)
     current = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("last_indexed", "hash")).alias("_k")).select(F.col("file_id").alias("_id"), "_k.*")
     current = current.withColumnsRenamed({"last_indexed": "_at", "hash": "_hash"})
     same = (F.col("file_id") == F.col("_id")) & F.col("last_indexed").eqNullSafe(F.col("_at")) & F.col("hash").eqNullSafe(F.col("_hash"))
-    path = clean_path(F.col("path"))
-    columns = ["file_id", path.alias("path"), language_of(path).alias("language"), *["content"] * content, "hash", "line_count", "branch", "last_indexed"]
     return files.join(current, same, "left_semi").select(*columns).distinct()
 
 

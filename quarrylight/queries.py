@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.operators.hierarchy import cycle_ids, hierarchy
-from quarrylight.operators.incremental import PartitionedRefresh, pending_files
+from quarrylight.operators.incremental import PartitionedRefresh, completed_versions, pending_files
 from quarrylight.operators.orphans import OrphanTracker
 from quarrylight.operators.skew import salted_aggregate
 from quarrylight.operators.snapdiff import ROWS_PER_BUCKET, candidates, classified, row_hash
@@ -24,27 +24,62 @@ def _partitions(*tables: DataFrame) -> int:
     return max(32, -(-sum(t.count() for t in tables) // STATE_ROWS))
 
 
-@REGISTRY.add(
-    "p1_found",
-    """
+_P1_SQL = """
     WITH cur AS (SELECT file_id, arg_max(hash, coalesce(last_indexed, TIMESTAMP '0001-01-01')) AS hash FROM files GROUP BY file_id),
     runs AS (SELECT run_id, arg_max(state, updated_at) AS state FROM indexing_status GROUP BY run_id)
     SELECT file_id FROM cur WHERE NOT EXISTS (SELECT 1 FROM symbols s JOIN runs r ON s.run_id = r.run_id
         WHERE r.state = 'completed' AND s.file_id = cur.file_id AND s.file_hash = cur.hash)
-    """,
-)
+    """
+
+
+def _sources1(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        table(spark, data_dir, "files").select("file_id", "last_indexed", "hash"),
+        table(spark, data_dir, "symbols").select("file_id", "file_hash", "run_id", "last_cached"),
+        table(spark, data_dir, "indexing_status").select("run_id", "state", "updated_at"),
+    )
+
+
+def _refresh1(refresh: PartitionedRefresh, files: DataFrame, symbols: DataFrame, status: DataFrame) -> list[int]:
+    return refresh.run({"files": files, "done": completed_versions(symbols, status)}, lambda s: pending_files(s["files"], s["done"]))
+
+
+@REGISTRY.add("p1_found", _P1_SQL)
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Files whose current version no completed run has processed: a first run of the refreshed result."""
-    status = table(spark, data_dir, "indexing_status").select("run_id", "state", "updated_at")
-    sources = {
-        "files": table(spark, data_dir, "files").select("file_id", "last_indexed", "hash"),
-        "symbols": table(spark, data_dir, "symbols").select("file_id", "file_hash", "run_id"),
-    }
-    refresh = PartitionedRefresh(spark, shared_dir(spark, "pending-files"), "file_id", _partitions(*sources.values()))
-    refresh.run(sources, lambda s: pending_files(s["files"], s["symbols"], status))
+    files, symbols, status = _sources1(spark, data_dir)
+    refresh = PartitionedRefresh(spark, shared_dir(spark, "pending-files"), "file_id", _partitions(files, symbols))
+    _refresh1(refresh, files, symbols, status)
     return refresh.result()
 
 
+def _refreshed_thrice(spark: SparkSession, data_dir: str) -> tuple[PartitionedRefresh, list[int]]:
+    """The tables as of a day before the last index time, then as they are, then unchanged; partitions recomputed by each run."""
+    files, symbols, status = _sources1(spark, data_dir)
+    refresh = PartitionedRefresh(spark, shared_dir(spark, "pending-files"), "file_id", _partitions(files, symbols))
+    day_before = files.agg(F.max("last_indexed") - F.expr("INTERVAL 1 DAY")).first()[0]
+
+    def earlier(df: DataFrame, time: str) -> DataFrame:
+        return df.where(F.col(time).isNull() | (F.col(time) < F.lit(day_before)))
+
+    runs = [_refresh1(refresh, earlier(files, "last_indexed"), earlier(symbols, "last_cached"), earlier(status, "updated_at"))]
+    runs += [_refresh1(refresh, files, symbols, status) for _ in range(2)]
+    return refresh, [len(changed) for changed in runs]
+
+
+@REGISTRY.add("p1_refreshed", _P1_SQL)
+def p1_refreshed(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same result by a state that was built on earlier tables and then followed the changes."""
+    return _refreshed_thrice(spark, data_dir)[0].result()
+
+
+@REGISTRY.add("p1_runs")
+def p1_runs(spark: SparkSession, data_dir: str) -> DataFrame:
+    """How many partitions each of the three runs recomputed; the last one, on unchanged tables, none."""
+    refresh, runs = _refreshed_thrice(spark, data_dir)
+    return spark.createDataFrame([(i + 1, n, refresh.partitions) for i, n in enumerate(runs)], "run int, recomputed int, partitions int")
+
+
 @REGISTRY.add(
     "p2_found",
     """
