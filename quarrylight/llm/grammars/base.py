@@ -118,8 +118,8 @@ class Reader:
 class Grammar:
     """A language: ``tokens`` finds tokens, ``kind`` names them, ``reader`` has a rule ``file`` for whole texts."""
 
-    def __init__(self, tokens: str, kind: Callable[[str], str], reader: type[Reader]) -> None:
-        self.tokens = re.compile(tokens, re.M | re.S)
+    def __init__(self, tokens: str, kind: Callable[[str], str], reader: type[Reader], space: str = r"\s*+") -> None:
+        self.tokens = re.compile(f"{space}({tokens})", re.M | re.S)  # the space before a token is read with it
         self.kinds = Kinds(kind)
         self.reader = reader
 
@@ -155,7 +155,7 @@ class Grammar:
         """``valid``, for a text of perhaps another language: its first tokens are tried before all are made."""
         found, tokens = self.tokens.finditer(self.bare(text)), []
         for most in HEADS:
-            tokens += [m[0] for m in islice(found, most - len(tokens))]
+            tokens += [m[1] for m in islice(found, most - len(tokens))]
             try:
                 self.reader(self.part(self.lexed(tokens))).file()
             except Bad:

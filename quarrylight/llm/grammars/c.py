@@ -638,4 +638,4 @@ class _CGrammar(Grammar):
             return False
 
 
-C = _CGrammar(_TOKENS, _kind, _C)
+C = _CGrammar(_TOKENS, _kind, _C, "")

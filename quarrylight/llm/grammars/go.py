@@ -520,17 +520,20 @@ class _GoGrammar(Grammar):
     """Puts the semicolons that line ends stand for."""
 
     def lexed(self, tokens: list[str]) -> list[str]:
-        out, last = [], "\n"
-        kinds = self.kinds
-        for token in tokens:
-            kind = kinds[token]
-            if kind == "\n":
-                if last in _ENDS:
-                    out.append(";")
-                    last = ";"
-            elif kind:
-                out.append(kind)
-                last = kind
+        all_ = list(filter(None, map(self.kinds.__getitem__, tokens)))
+        out: list[str] = []
+        at, size = 0, len(all_)
+        while at < size:
+            try:
+                end = all_.index("\n", at)
+            except ValueError:
+                out += all_[at:]
+                break
+            out += all_[at:end]
+            if end > at and out[-1] in _ENDS:
+                out.append(";")
+            at = end + 1
         return out
 
-GO = _GoGrammar(_TOKENS, _kind, _Go)
+
+GO = _GoGrammar(_TOKENS, _kind, _Go, r"[^\S\n]*+")

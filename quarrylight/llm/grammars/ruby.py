@@ -10,11 +10,11 @@ from quarrylight.llm.grammars.base import END, HEADS, REMEMBERED, Bad, Kinds, Re
 _KEYWORDS = set("def class module do if unless while until for in case when else elsif begin rescue ensure end return next break redo retry yield and or not then super alias undef defined? BEGIN END".split())
 _VALUES = set("true false nil self __FILE__ __LINE__ __method__ __dir__ __ENCODING__".split())
 _TOKENS = re.compile(
-    r"(?P<space>(?:[ \t\f\v]|\\\r?\n)+)|(?P<line>\n[ \t\r\f\v]*(?:\#[^\n]*|(?=(?:&\.|\.(?!\.))))?)|(?P<begin>^=begin\b.*?^=end\b[^\n]*)|(?P<comment>\#[^\n]*)"
+    r"(?P<space>(?:[ \t\f\v]|\\\r?\n)*+)(?:(?P<line>\n[ \t\r\f\v]*(?:\#[^\n]*|(?=(?:&\.|\.(?!\.))))?)|(?P<begin>^=begin\b.*?^=end\b[^\n]*)|(?P<comment>\#[^\n]*)"
     r"|(?P<heredoc><<[~-]?(?:\"[^\"\n]+\"|'[^'\n]+'|`[^`\n]+`|[A-Za-z_]\w*))|(?P<number>0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]*(?![\w.])|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]*(?!\w))"
     r"|(?P<ivar>@@?[^\W\d]\w*|\$(?:[^\W\d]\w*|\d+|-\w|[!@&`'+~=/\\,;.<>_*$?:\"]))"
     r"|(?P<symbol>:(?:[^\W\d]\w*[?!=]?(?![=~>])|[^\W\d]\w*[?!]?|\[\]=?|\*\*|<=>|===?|=~|![=~]?|<<|>>|<=|>=|[+\-]@|[+\-*/%&|^<>~`](?!:)))"
-    r"|(?P<word>[^\W\d]\w*(?:[?!](?![=~])|[?!](?==[=~>]))?)|(?P<sign>\*\*=|<=>|===|\.\.\.|<<=|>>=|&&=|\|\|=|&\.|::|\.\.|=>|=~|!~|\*\*|<<|>>|&&|\|\||->|[+\-*/%&|^<>=!]=|[\"'`/%?:\[\](){},;.+\-*&|^<>=!~])|(?P<bad>.)",
+    r"|(?P<word>[^\W\d]\w*(?:[?!](?![=~])|[?!](?==[=~>]))?)|(?P<sign>\*\*=|<=>|===|\.\.\.|<<=|>>=|&&=|\|\|=|&\.|::|\.\.|=>|=~|!~|\*\*|<<|>>|&&|\|\||->|[+\-*/%&|^<>=!]=|[\"'`/%?:\[\](){},;.+\-*&|^<>=!~])|(?P<bad>.))",
     re.M | re.S,
 )
 _CONFLICT = re.compile(r"(?:<{7}|={7}|>{7}|\|{7})(?![<>=|])")
@@ -59,16 +59,19 @@ class _Lexer:
         kinds = self.kinds
         while self.at < size:
             m = match(text, self.at)
+            if m is None:
+                break  # nothing but space
             kind = m.lastgroup
-            if kind == "space":
-                self.space, self.at = 1, m.end()
-                continue
+            start, end = m.span(kind)
+            if start > self.at:
+                self.space = 1
             if kind == "comment" or kind == "begin":
-                self.at = m.end()
+                self.at = end
                 continue
             if len(kinds) >= most:
                 return
-            token = m[0]
+            self.at = start
+            token = text[start:end]
             last = kinds[-1] if kinds else "\n"
             ends = last in _VALUE_ENDS
             if kind == "line":
@@ -91,11 +94,15 @@ class _Lexer:
                         return
                 self.space = 1
                 continue
-            after_def = last in ("def", ".", "&.") or last == "::" and not self.space
+            after_def = last == "." or last == "def" or last == "&." or last == "::" and not self.space
             if kind == "word":
-                self.at = m.end()
-                n = text[self.at : self.at + 1]
-                if n == ":" and text[self.at + 1 : self.at + 2] != ":" and last not in (".", "&.") and not (last == "?" and self.space and text[self.at + 1 : self.at + 2] not in (" ", "\n")) and not self.ternary(last):
+                at = self.at = end
+                n = text[at : at + 1]
+                if n != ":" and n != "=" and n != "?" and not after_def and token not in _KEYWORDS and token not in _VALUES:
+                    kinds.append("C" if token[0].isupper() else "i?" if token[-1] in "?!" else "i")
+                    self.spaces.append(self.space)
+                    self.space = 0
+                elif n == ":" and text[self.at + 1 : self.at + 2] != ":" and last not in (".", "&.") and not (last == "?" and self.space and text[self.at + 1 : self.at + 2] not in (" ", "\n")) and not self.ternary(last):
                     self.at += 1
                     self.put("label")
                 elif after_def and last != "def":
@@ -135,7 +142,7 @@ class _Lexer:
             if kind == "bad" or token[0] in "<=>|" and (self.at == 0 or text[self.at - 1] == "\n") and _CONFLICT.match(text, self.at):
                 self.put("X")
                 return
-            self.at = m.start() + len(token)
+            self.at = start + len(token)
             before_value = not ends or self.space and last in ("i", "i?") and text[self.at : self.at + 1] not in (" ", "\n", "=", "")
             if after_def and token in _OPERATOR_METHODS:
                 if token in "+-!~" and text.startswith("@", self.at):
@@ -163,14 +170,14 @@ class _Lexer:
                 self.put("v")
                 continue
             if token in ("/", "/=") and before_value:
-                self.at = m.start() + 1
+                self.at = start + 1
                 self.string("/", "/", True)
                 while text[self.at : self.at + 1].isalpha():
                     self.at += 1
                 self.put("v")
                 continue
             if token in ("%", "%=") and before_value:
-                found = _PERCENT.match(text, m.start())
+                found = _PERCENT.match(text, start)
                 if found:
                     self.at = found.end()
                     self.string(found[2], _CLOSE.get(found[2], found[2]), found[1] not in ("w", "i", "q", "s"))
@@ -180,7 +187,7 @@ class _Lexer:
                     self.put("v")
                     continue
             if token == "?" and not ends:
-                found = _CHARACTER.match(text, m.start())
+                found = _CHARACTER.match(text, start)
                 if found:
                     self.at = found.end()
                     self.put("v")

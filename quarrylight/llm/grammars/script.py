@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 from quarrylight.llm.grammars.base import BLOCK, END, HEADS, LINE, MARKER, REMEMBERED, STRING, Bad, Kinds, Reader
 
 _NAMED = r"[^\W\d][\w$]*|\$[\w$]*|\\u[\da-fA-F{}]+[\w$]*"
 _TOKENS = re.compile(
-    rf"{MARKER}|{BLOCK}|{LINE}|{STRING}|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\$]|\\.|\$(?!\{{))*+`|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$])|(?:{_NAMED}|(?<=\w)\\u[\da-fA-F{{}}]+)+|\#(?:{_NAMED})|=>|\.\.\.|===|!==|\*\*=?|\?\?=?|\?\.(?!\d)|&&=|\|\|=|<<=|\+\+|--|&&|\|\||[+\-*/%&|^<>=!]=|<<|[\n  ]|\S",
+    rf"[^\S\n\u2028\u2029]*+({MARKER}|{BLOCK}|{LINE}|{STRING}|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\$]|\\.|\$(?!\{{))*+`|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$])|(?:{_NAMED}|(?<=\w)\\u[\da-fA-F{{}}]+)+|\#(?:{_NAMED})|=>|\.\.\.|===|!==|\*\*=?|\?\?=?|\?\.(?!\d)|&&=|\|\|=|<<=|\+\+|--|&&|\|\||[+\-*/%&|^<>=!]=|<<|[\n\u2028\u2029]|\S)",
     re.M | re.S,
 )
 _REGEX = re.compile(r"/(?![/*])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[\w$]*")
@@ -32,7 +34,7 @@ def _kind(token: str) -> str:
     if token in ("true", "false", "null"):
         return "null"
     c = token[0]
-    if c in "\n  ":
+    if c in "\n\u2028\u2029":
         return "\n"
     if token.startswith(("//", "/*")):
         return "\n" if "\n" in token else " "
@@ -50,30 +52,43 @@ _KINDS = Kinds(_kind)
 
 def _settled(tokens: list[str]) -> tuple[list[str], bytearray]:
     """Kinds, and whether a line ends before each."""
-    kinds, breaks, pending = [], bytearray(), 0
-    of = _KINDS
-    for token in tokens:
-        kind = of[token]
-        if kind == "\n":
-            pending = 1
-        elif kind != " ":
-            kinds.append(kind)
-            breaks.append(pending)
-            pending = 0
-    breaks.extend(b"\1" * len(END))
+    all_ = list(map(_KINDS.__getitem__, tokens))
+    if " " in all_:
+        all_ = [kind for kind in all_ if kind != " "]
+    if "\n" not in all_:
+        return all_, bytearray(len(all_)) + b"\1" * len(END)
+    kinds: list[str] = []
+    marks, at, size = [], 0, len(all_)
+    while at < size:
+        try:
+            end = all_.index("\n", at)
+        except ValueError:
+            end = size
+        kinds += all_[at:end]
+        marks.append(len(kinds))
+        at = end + 1
+    breaks = bytearray(len(kinds)) + b"\1" * len(END)
+    for mark in marks:
+        breaks[mark] = 1
     return kinds, breaks
 
 
+_HEAD: tuple[str, list[str], Iterator[re.Match]] = ("", [], iter(()))
+
+
 def lexed(text: str, most: int | None = None) -> tuple[list[str], bytearray]:
     """The kinds of a text; with ``most``, of its first tokens up to one that needs to know what is before it."""
+    global _HEAD
     if most is not None:
-        tokens = []
-        for m in _TOKENS.finditer(text):
-            token = m[0]
-            if token in ("/", "/=", "`") or len(tokens) == most:
+        if _HEAD[0] != text:  # both grammars ask for the same beginnings
+            _HEAD = (text, [], _TOKENS.finditer(text))
+        tokens = _HEAD[1]
+        while len(tokens) < most and (m := next(_HEAD[2], None)):
+            if m[1] in ("/", "/=", "`"):
+                _HEAD = (text, tokens, iter(()))
                 break
-            tokens.append(token)
-        return _settled(tokens)
+            tokens.append(m[1])
+        return _settled(tokens[:most])
     tokens = _TOKENS.findall(text)
     if "/" not in tokens and "/=" not in tokens and "`" not in tokens:
         return _settled(tokens)
@@ -93,7 +108,7 @@ def _walked(text: str) -> tuple[list[str], bytearray]:
         m = match(text, at)
         if m is None:
             break
-        token = m[0]
+        token = m[1]
         kind = of[token]
         at = m.end()
         if kind == " ":
@@ -103,7 +118,7 @@ def _walked(text: str) -> tuple[list[str], bytearray]:
             continue
         if kind in ("/", "/="):
             start = last in _BEFORE_REGEX or last == ")" and closed in ("if", "while", "for", "with") or last == "}" and closed in ("=>", ")", ";", "{", "", "else", "do", "try", "finally") and pending == 1
-            found = start and _REGEX.match(text, m.start())
+            found = start and _REGEX.match(text, m.start(1))
             if found:
                 kind, at = "r", found.end()
         elif kind in ("(", "[", "{"):

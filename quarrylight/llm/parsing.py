@@ -1,6 +1,6 @@
 """Source files that are not valid in the language of their path.
 
-The tokens that begin a text's lines rank the languages, then the text is parsed against all grammars in that order. A
+A text is parsed against all grammars, and the tokens that begin its lines rank the languages that accept it. A
 text that its own grammar accepts is valid; one that only others accept has a wrong extension, and the first of them in
 ranked order is its language; one that none accepts is corrupt. Rows are judged where they are read, equal texts of a
 task once, and only verdicts are shuffled to find each file's current row.
@@ -73,14 +73,15 @@ def accepting(text: str, own: str) -> list[str] | None:
     text = text.removeprefix("﻿")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    out = []
-    for name in ranked(text):
-        holds = PARSERS[name](text) if name == own else FOREIGN[name](text)
-        if holds:
-            out.append(name)
-        elif holds is None and name == own:
+    found = {}
+    for name in sorted(EXTENSIONS, key=lambda x: x != own):
+        if name == "ts" and found.get("js") and own != "ts":
+            found[name] = True  # TypeScript is a superset of JavaScript's syntax
+        else:
+            found[name] = PARSERS[name](text) if name == own else FOREIGN[name](text)
+        if found[name] is None and name == own:
             return None
-    return out
+    return [name for name in ranked(text) if found[name]] if any(found.values()) else []
 
 
 def judge(text: str | None, language: str) -> tuple[str | None, list[str]]:
