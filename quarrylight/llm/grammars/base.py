@@ -18,7 +18,7 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 REMEMBERED = 50_000
 SHORT = 32  # tokens of the longest statement that is remembered
-HEADS = (16, 64, 256)  # tokens that are tried before a whole text is
+HEADS = (12, 24, 48, 96, 192, 384)  # tokens that are tried before a whole text is
 END = ("", "", "", "", "", "")
 MARKER = r"^(?:<{7}|={7}|>{7}|\|{7})(?![<>=|])"  # conflict markers at the start of a line
 STRING = r'"(?:[^"\\\n]|\\.)*+"'

@@ -81,7 +81,8 @@ def accepting(text: str, own: str) -> list[str] | None:
             found[name] = PARSERS[name](text) if name == own else FOREIGN[name](text)
         if found[name] is None and name == own:
             return None
-    return [name for name in ranked(text) if found[name]] if any(found.values()) else []
+    names = [name for name in EXTENSIONS if found[name]]
+    return names if len(names) < 2 else [name for name in ranked(text) if found[name]]
 
 
 def judge(text: str | None, language: str) -> tuple[str | None, list[str]]:

@@ -32,8 +32,8 @@ LEAST_SHARED_CHARS = 200
 MANY_REPOSITORIES = 3
 
 VENDOR_FOLDER = r"(^|/)(third[_-]?party|3rd[_-]?party|vendor|vendored|vendors|external|externals|deps|extern|node_modules|bower_components|site-packages)/"
-_GENERATED_PATH = re.compile(r"(^|/)(gen|generated|autogen|__generated__|auto_generated|codegen-out)/|\.(gen|g|generated|pb|pb\.gw|designer)\.\w+$|(_pb2|_pb2_grpc|Grpc|_generated|_gen|\.generated|_grpc)(_[0-9a-z]{1,4})?\.\w+$", re.I)
-_MINIFIED_PATH = re.compile(r"[.-]min(_[0-9a-z]{1,4})?\.(js|ts|css)$|[._](bundle|prod)\.(js|ts)$")
+_GENERATED_PATH = re.compile(r"(^|/)(gen|generated|autogen|__generated__|auto_generated|codegen-out)/|\.(gen|g|generated|pb|pb\.gw|designer)\.\w+$|([._-](generated|autogen|gen|pb2|grpc)|Grpc)(?=[._-])[^/]*$", re.I)
+_MINIFIED_PATH = re.compile(r"[._-](min|bundle|prod)(?=[._-])[^/]*\.(js|ts|css)$")
 _HEADER = re.compile(
     r"^[\s/*#<!;-]*("
     r"code generated (by|with|from)\b|(this|the) (file|code|source|module) (was|is|has been) (auto|machine|mechanic|generated|created by a)|auto-?\s?generated (file|code|source|with|by|from)\b"
@@ -47,10 +47,22 @@ _NUMBERED = re.compile(r"\b[A-Za-z_]\w*?(\d+)\b")
 _BLOB = re.compile(r"\"[A-Za-z0-9+/=]{44,}\"|(?:(?:0[xX][\da-fA-F]+|-?\d+(?:\.\d+)?)\s*,\s*){12,}|\{\s*\"\w+\"\s*:\s*[^{}]*\}")
 
 
+def _lines_of(text: str) -> Iterator[str]:
+    """The lines of a text, one at a time: what follows the header is not cut up."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        if end < 0:
+            yield text[at:]
+            return
+        yield text[at:end]
+        at = end + 1
+
+
 def header_lines(text: str) -> list[str]:
-    """The comment lines before the first line of code."""
+    """The comment lines before the first line of code, however many there are."""
     out, block = [], ""
-    for line in text.split("\n", 60)[:60]:
+    for line in _lines_of(text):
         bare = line.strip()
         if block:
             out.append(bare)
@@ -94,13 +106,13 @@ def origin(path: str, text: str | None) -> str | None:
         return "generated"
     code = _COMMENT.sub(r"\1", text).strip()
     size = len(code)
-    if size < 40:
+    if not size:
         return None
     lines = code.count("\n") + 1
     if path.endswith((".js", ".ts")):
         blank = sum(map(code.count, " \t\n"))
         strings = sum(map(len, re.findall(r'"(?:[^"\\\n]|\\.)*"', code)))
-        if size > 300 and (size - strings) > 300 and blank < 0.08 * size and (size - strings) / lines > 150:
+        if blank < 0.08 * size and (size - strings) / lines > 150:
             return "minified"
         if _MINIFIED_PATH.search(path) and size / lines > 200:
             return "minified"

@@ -92,3 +92,29 @@ def test_fill_splits_only_what_exceeds_the_capacity(spark):
             assert [p[0] for p in pieces] == [k * capacity for k in range(len(pieces))]
     assert len({r.container_id for r in out if r.container_type == "large"}) == 1
     assert fill(items.limit(0), [("small", 10)]).count() == 0 and fill(items, [("small", 10)], slots=4).count() == 10
+
+
+def test_independent_classes_have_a_fixed_number_of_items(spark):
+    from collections import Counter
+
+    from quarrylight.llm.packing import fill, pack_class
+
+    assert pack_class(np.array([300, 300, 290, 270]), 1000).tolist() == [0, 0, 0, 1] and pack_class(np.array([], np.int64), 10).tolist() == [] and pack_class(np.array([0, 0]), 10).tolist() == [0, 0]
+    rows = [(i, (i * 37) % 1500) for i in range(300)] + [(900, None), (901, 0)]
+    items = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    out = fill(items, [("a", 1000), ("b", 64)], leftovers=False).collect()
+    assert {r.doc_id for r in out} == {r[0] for r in rows}
+    for kind, capacity in (("a", 1000), ("b", 64)):
+        mine = [r for r in out if r.container_type == kind]
+        assert sum(r.n_tokens for r in mine) == sum(n or 0 for _, n in rows)
+        boxes = {}
+        for r in mine:
+            boxes.setdefault(r.container_id, []).append(r.n_tokens)
+        short = Counter()
+        for sizes in boxes.values():
+            assert sum(sizes) <= capacity
+            classes = {capacity // n for n in sizes if n}
+            assert len(classes) <= 1
+            if classes and len(sizes) < (k := classes.pop()):
+                short[k] += 1
+        assert all(n <= 1 for n in short.values())  # one open container a class and slot

@@ -75,3 +75,23 @@ def test_origins(spark):
     assert {k for k, v in got.items() if v is None} == {1, 4, 5, 6, 7, 200, 201, 202}
     assert origins(files.limit(0), catalog).count() == 0
     assert origins(files, catalog.limit(0)).where("origin = 'vendored'").count() == 7
+
+
+def test_a_header_below_any_licence_counts_and_short_files_are_judged():
+    from quarrylight.llm.provenance import header_lines, origin
+
+    licence = "// licence line\n" * 700
+    assert origin("r/a.go", licence + "// Code generated by protoc. DO NOT EDIT.\n\npackage a\n") == "generated"
+    assert len(header_lines(licence + "package a\n// Code generated\n")) == 700
+    assert origin("r/a.js", "// @generated\nx\n") == "generated"
+    assert origin("r/a.js", "") is None and origin("r/a.js", None) is None and origin("r/a.js", "x=1") is None
+    assert origin("r/a.js", "a=b+c;" * 40) == "minified"
+
+
+def test_names_are_read_by_their_words():
+    from quarrylight.llm.provenance import origin
+
+    for path in ("r/a_pb2.py", "r/a.pb.go", "r/x_generated.rs", "r/x_generated_q1.rs", "r/FooGrpc.java", "r/gen/a.py", "r/a.designer.cs"):
+        assert origin(path, "x = 1\n") == "generated", path
+    for path in ("r/a_pb.rb", "r/a_g.c", "r/generator.py", "r/regenerated/x.py", "r/degen.py", "r/grpc_client/x.go"):
+        assert origin(path, "x = 1\n") is None, path
