@@ -6,11 +6,96 @@ round. Nothing grows on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.sources.shared import cut
 
+LOCAL_EDGES = 1_000_000  # edges that one task solves by itself; beyond them, rounds of joins shrink the graph first
+
+
+def _solved(edges: DataFrame, solve: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, component) of a graph of at most LOCAL_EDGES edges (src, dst), in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        whole = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": []}, dtype=np.int64)
+        ids, component = solve(whole["src"].to_numpy(np.int64), whole["dst"].to_numpy(np.int64))
+        yield pd.DataFrame({"id": ids, "component": component})
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(run, f"id {kind}, component {kind}")
+
+
+def _local_strong(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of two and more nodes, by one depth-first walk that keeps its own stack."""
+    ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = flat[: len(src)], flat[len(src) :]
+    order = np.argsort(a, kind="stable")
+    first, ends = np.searchsorted(a[order], np.arange(len(ids))).tolist(), np.searchsorted(a[order], np.arange(len(ids)), "right").tolist()
+    onward = b[order].tolist()
+    n = len(ids)
+    number, low, at, member = [0] * n, [0] * n, list(first), [-1] * n
+    on_stack, stack, counter = [False] * n, [], 0
+    for root in range(n):
+        if number[root]:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if not number[v]:
+                counter += 1
+                number[v] = low[v] = counter
+                stack.append(v)
+                on_stack[v] = True
+            if at[v] < ends[v]:
+                w = onward[at[v]]
+                at[v] += 1
+                if not number[w]:
+                    path.append(w)
+                elif on_stack[w]:
+                    low[v] = min(low[v], number[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == number[v]:
+                found = []
+                while True:
+                    w = stack.pop()
+                    on_stack[w] = False
+                    found.append(w)
+                    if w == v:
+                        break
+                if len(found) > 1:
+                    name = max(found)  # places keep the order of ids
+                    for w in found:
+                        member[w] = name
+    member = np.array(member, np.int64)
+    kept = member >= 0
+    return ids[kept], ids[member[kept]]
+
+
+def _local_components(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node with the least id of its undirected component, by minima over edges and jumps."""
+    ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = flat[: len(src)], flat[len(src) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = np.minimum(new, new[label])
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
 
 def dependents(edges: DataFrame) -> DataFrame:
     """(dst, src): who depends on what, each pair once."""
@@ -41,8 +126,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round, every node takes the least label among its neighbours and then the label of its label, so paths halve.
     """
-    pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
-    pairs = cut(pairs.union(pairs.select("dst", "src")).distinct(), "components")
+    pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    pairs = cut(pairs, "components")
+    if pairs.count() <= LOCAL_EDGES:
+        linked = _solved(pairs, _local_components)
+        return linked.unionByName(nodes.select("id").distinct().join(linked, "id", "left_anti").withColumn("component", F.col("id")))
+    pairs = cut(pairs.union(pairs.select("dst", "src")), "components")
     ids = nodes.select("id").union(pairs.select("src")).distinct()
     labels = cut(ids.select("id", F.col("id").alias("label")), "components")
     while True:
@@ -59,6 +148,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def islands_page(labels: DataFrame, least: int = 2, most: int | None = None, offset: int = 0, limit: int = 200, ascending: bool = False) -> DataFrame:
+    """(component, files, rank): a page of the components of ``least`` to ``most`` nodes, the largest first or last.
+
+    Without ``most``, it is half of all nodes, at most 500. Ranks count from 1 over all that pass.
+    """
+    if most is None:
+        most = min(500, max(least, labels.count() // 2))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("files")).where((F.col("files") >= least) & (F.col("files") <= most))
+    order = [F.asc("files") if ascending else F.desc("files"), F.asc("component")]
+    page = sizes.orderBy(*order).offset(offset).limit(limit)
+    return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + offset)  # of one page
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes on directed cycles; a component is named by its greatest id.
 
@@ -71,6 +173,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found = None
     n = left.count()
     while n:
+        if n <= LOCAL_EDGES:
+            rest = _solved(left, _local_strong).select("id", F.col("component").alias("colour"))
+            found = rest if found is None else found.unionByName(rest)
+            break
         while True:  # trim
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             kept = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")

@@ -27,9 +27,7 @@ def key_counts(df: DataFrame, key: str, salts: int = 32) -> DataFrame:
 
 def heavy_keys(df: DataFrame, key: str, share: float, salts: int = 32) -> DataFrame:
     """(key, rows) of the keys that hold at least ``share`` of all rows, NULL keys and repeats counted as rows."""
-    total = df.agg((F.count(F.lit(1)) * F.lit(share)).alias("_least"))
-    # one row, so the join is a filter
-    return key_counts(df, key, salts).join(F.broadcast(total), F.col("rows") >= F.col("_least")).drop("_least")
+    return key_counts(df, key, salts).where(F.col("rows") >= F.lit(share * df.count()))
 
 
 def salted_aggregate(df: DataFrame, key: str, distinct: dict[str, str], heavy_share: float = 0.005, salts: int = 32) -> DataFrame:

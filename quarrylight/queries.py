@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators.hierarchy import cycle_ids, hierarchy
+from quarrylight.operators.hierarchy import cycle_ids, descendants, hierarchy, paths
 from quarrylight.operators.incremental import PartitionedRefresh, completed_versions, pending_files
 from quarrylight.operators.orphans import OrphanTracker
 from quarrylight.operators.skew import salted_aggregate
@@ -89,9 +89,8 @@ def p1_runs(spark: SparkSession, data_dir: str) -> DataFrame:
 )
 def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
     edges = table(spark, data_dir, "dependency_edges")
-    least = edges.agg((F.count(F.lit(1)) * F.lit(HEAVY_SHARE)).alias("least"))
-    counted = salted_aggregate(edges, "target_file_id", {})
-    return counted.join(F.broadcast(least), F.col("rows") >= F.col("least")).select("target_file_id")  # least is one row
+    least = HEAVY_SHARE * edges.count()  # from the Parquet footers
+    return salted_aggregate(edges, "target_file_id", {}).where(F.col("rows") >= F.lit(least)).select("target_file_id")
 
 
 @REGISTRY.add(
@@ -136,7 +135,8 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
 def p4_hierarchy(spark: SparkSession, data_dir: str) -> DataFrame:
     """Path from the root, depth, root and number of descendants of every file in a tree."""
     tree = hierarchy(_mod_links(spark, data_dir), "target_file_id", "source_file_id")
-    return tree.select(F.col("id").alias("file_id"), "root", F.col("depth").cast("int").alias("depth"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "descendants")
+    whole = tree.join(paths(tree), "id")
+    return whole.select(F.col("id").alias("file_id"), "root", F.col("depth").cast("int").alias("depth"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "descendants")
 
 
 @REGISTRY.add(
@@ -144,9 +144,9 @@ def p4_hierarchy(spark: SparkSession, data_dir: str) -> DataFrame:
     f"WITH RECURSIVE {_MOD_LINKS} SELECT a AS file_id, id AS descendant FROM (SELECT id, unnest(path) AS a FROM tree) WHERE a <> id",
 )
 def p4_descendants(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Every file with each of its descendants: a row per ancestor of a node, read off its path."""
+    """Every file with each of its descendants: the files in its nested-set range."""
     tree = hierarchy(_mod_links(spark, data_dir), "target_file_id", "source_file_id")
-    return tree.select(F.explode(F.slice("path", F.lit(1), F.col("depth").cast("int"))).alias("file_id"), F.col("id").alias("descendant"))
+    return descendants(tree).select(F.col("id").alias("file_id"), "descendant")
 
 
 def _month(snapshot_id: str = "snapshot_id"):

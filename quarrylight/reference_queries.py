@@ -9,7 +9,6 @@ from quarrylight.corpus import CORPUS_SQL, LINES_CTE, corpus, lines
 from quarrylight.functions.paths import first_segment, path_variants, prefixes
 from quarrylight.functions.text import line_array, required_literals, truncated, word_pattern_re2
 from quarrylight.operators import activity, graph, imports, search, snapshots, symbols, trigram
-from quarrylight.operators.hierarchy import hierarchy
 from quarrylight.operators.incremental import run_states
 from quarrylight.plans.registry import Registry
 from quarrylight.plans.spec import QuerySpec, evaluation_score, instruction, parse_command
@@ -29,6 +28,26 @@ _SYM = f"""{_CUR}, {_RUNS}, sym AS (SELECT DISTINCT c.path, c.language, s.start_
 _E = "e AS (SELECT DISTINCT source_file_id AS src, target_file_id AS dst, import_type FROM dependency_edges WHERE snapshot_id = (SELECT max(snapshot_id) FROM dependency_edges))"
 _N = "n AS (SELECT DISTINCT id, path, language, line_count FROM snap_files WHERE snapshot_id = (SELECT max(snapshot_id) FROM snap_files) UNION SELECT file_id, path, language, line_count FROM core_files)"
 _EN = f"{_E}, {_N}"
+
+
+def _cycles_sql(edges: str, name: str = "scc") -> str:
+    """(id, component) of the nodes on directed cycles of an edge table, parent declarations apart, by its whole closure."""
+    return f"""{name}_c AS (SELECT DISTINCT src, dst FROM {edges} WHERE src IS NOT NULL AND dst IS NOT NULL AND import_type IS DISTINCT FROM 'mod_decl'),
+    {name}_r AS (SELECT src, dst FROM {name}_c UNION SELECT r.src, c.dst FROM {name}_r r JOIN {name}_c c ON r.dst = c.src),
+    {name} AS (SELECT a.src AS id, max(a.dst) AS component FROM {name}_r a JOIN {name}_r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"""
+
+
+def _islands_sql(edges: str, nodes: str, name: str = "isl") -> str:
+    """(id, component) of the undirected components, the least id of each being its name."""
+    return f"""{name}_u AS (SELECT src AS a, dst AS b FROM {edges} WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst, src FROM {edges} WHERE src IS NOT NULL AND dst IS NOT NULL),
+    {name}(id, component) USING KEY (id) AS (SELECT id, id FROM (SELECT id FROM {nodes} UNION SELECT a FROM {name}_u)
+        UNION (SELECT u.a, min(cc.component) FROM {name} cc JOIN {name}_u u ON u.b = cc.id JOIN recurring.{name} r ON r.id = u.a WHERE cc.component < r.component GROUP BY u.a))"""
+
+
+def _at_sql(which: str, tag: str) -> str:
+    """Edges e<tag> and nodes n<tag> of one of the last two snapshots."""
+    return f"""e{tag} AS (SELECT DISTINCT source_file_id AS src, target_file_id AS dst, import_type FROM dependency_edges WHERE snapshot_id = (SELECT {which} FROM ids)),
+    n{tag} AS (SELECT DISTINCT id, path FROM snap_files WHERE snapshot_id = (SELECT {which} FROM ids) UNION SELECT file_id, path FROM core_files)"""
 _MOD = "CASE WHEN contains({0}, '/') THEN split_part({0}, '/', 1) ELSE '.' END"
 _SNAPS = "s2 AS (SELECT DISTINCT snapshot_id AS s FROM snap_files ORDER BY 1 DESC LIMIT 2), ids AS (SELECT max(s) AS new, min(s) AS old FROM s2)"
 _FILES2 = f"{_SNAPS}, fo AS (SELECT DISTINCT path, language, line_count FROM snap_files WHERE snapshot_id = (SELECT old FROM ids)), fn AS (SELECT DISTINCT path, language, line_count FROM snap_files WHERE snapshot_id = (SELECT new FROM ids))"
@@ -120,12 +139,6 @@ def q_compact(spark, d):
     return table(spark, d, "symbols").select("file_id", "file_hash").join(kept, "file_id", "left_semi").distinct()
 
 
-@add("q_result_json")
-def q_result_json(spark, d):
-    hits = search.text_hits(files_of(spark, d), QuerySpec(pattern=WORD))
-    return search.grouped(hits).select("path", F.to_json(F.struct("path", "language", "matches")).alias("json"))
-
-
 # ---- lines and shapes -------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +172,12 @@ def _word_sql(word: str) -> str:
 _HITS = f"{_LIN}, hit AS (SELECT path, language, line_no, line FROM lin WHERE {_word_sql(WORD)})"
 
 
+@add("q_result_json", f"""WITH {_HITS} SELECT path, to_json({{'path': path, 'language': min(language), 'matches': list({{'start_line': line_no, 'end_line': line_no, 'preview': line}} ORDER BY line_no)}})::VARCHAR AS json FROM hit GROUP BY path""")
+def q_result_json(spark, d):
+    hits = search.text_hits(files_of(spark, d), QuerySpec(pattern=WORD))
+    return search.grouped(hits).select("path", F.to_json(F.struct("path", "language", "matches")).alias("json"))
+
+
 @add("q_context_lines", f"WITH {_HITS}, {_ARR} SELECT path, line_no AS start_line, array_to_string(l[greatest(line_no - 2, 1):line_no - 1], chr(10)) AS before, array_to_string(l[line_no + 1:line_no + 2], chr(10)) AS after FROM hit JOIN arr USING (path)")
 def q_context_lines(spark, d):
     files = files_of(spark, d)
@@ -383,6 +402,12 @@ def q_ast_functions(spark, d):
     return symbols.structure_filter(rows, '(function_item name: (identifier) @name) (#match? @name "^scan_")').select("path", "name", "start_line").distinct()
 
 
+@add("q_ast_all_files")
+def q_ast_all_files(spark, d):
+    """A structural pattern over the texts of all files of a language, those with a word only."""
+    return symbols.structure_search(files_of(spark, d), '(function_item name: (identifier) @name) (#match? @name "^scan_")', "rust", ["path"], "scan_").select("path", "name", "start_line", "end_line")
+
+
 @add("q_symbol_cache_cleanup", f"WITH {_CUR} SELECT DISTINCT file_id, file_hash FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE c.file_id = s.file_id AND c.hash = s.file_hash)")
 def q_symbol_cache_cleanup(spark, d):
     """Cached symbol sets that no present file needs."""
@@ -417,9 +442,9 @@ def q_key_symbols(spark, d):
     return kept.groupBy(module.alias("module"), "kind").agg(F.count(F.lit(1)).alias("symbols"), F.max(F.col("end_line") - F.col("start_line") + 1).alias("largest"))
 
 
-@add("q_doc_comments", f"WITH {_SYM}, {_LIN.split(_CUR, 1)[1].lstrip(', ')} SELECT DISTINCT s.path, s.symbol, s.start_line, l.line AS comment FROM sym s JOIN lin l ON l.path = s.path AND l.line_no = s.start_line - 1 WHERE regexp_matches(l.line, '^\\s*(//|#[^!\\[])')")
+@add("q_doc_comments")
 def q_doc_comments(spark, d):
-    """The whole documentation of each definition; the SQL has only single lines right above, the tests check constructed files."""
+    """The whole documentation of each definition; a walk over lines that SQL has no words for, so tests check constructed files."""
     keys = ("file_id", "file_hash")
     defs = symbols_of(spark, d, *keys).where("start_line IS NOT NULL").groupBy(*keys).agg(F.collect_set(F.struct("start_line", "symbol")).alias("defs"))
     files = files_of(spark, d).select("file_id", F.col("hash").alias("file_hash"), "path", "language", "content")
@@ -544,11 +569,15 @@ def q_module_map(spark, d):
     return hot.join(nodes_of(spark, d).select(F.col("id").alias("dst"), "path"), "dst").groupBy(first_segment(F.col("path")).alias("module")).agg(F.count(F.lit(1)).alias("hotspots"), F.sum("imports").alias("imports"))
 
 
-@add("q_fingerprint", "SELECT snapshot_id, count(*) AS files FROM (SELECT DISTINCT snapshot_id, id, path, language, line_count FROM snap_files) GROUP BY 1")
+@add("q_fingerprint", f"""WITH {_CUR}, rows AS (SELECT snapshot_id, path, coalesce(language, '') || ':' || coalesce(line_count::VARCHAR, '') AS state FROM (SELECT DISTINCT snapshot_id, id, path, language, line_count FROM snap_files)
+        UNION ALL SELECT 'index', path, hash FROM cur),
+    leaves AS (SELECT snapshot_id, sha256(coalesce(path, '') || ':' || coalesce(state, '') || chr(10)) AS leaf FROM rows),
+    buckets AS (SELECT snapshot_id, leaf[:3] AS bucket, count(*) AS n, sha256(string_agg(leaf, '' ORDER BY leaf)) AS digest FROM leaves GROUP BY ALL)
+    SELECT snapshot_id, sum(n)::BIGINT AS files, sha256(string_agg(digest, '' ORDER BY bucket)) AS fingerprint FROM buckets GROUP BY snapshot_id""")
 def q_fingerprint(spark, d):
     """Files and fingerprint of the index (snapshot_id 'index', over path and content hash) and of each snapshot.
 
-    Snapshots keep no content hash, so theirs is over path, language and line count. The SQL has their counts only.
+    Snapshots keep no content hash, so theirs is over path, language and line count.
     """
     index = snapshots.fingerprints(files_of(spark, d, False).withColumn("snapshot_id", F.lit("index")), ["snapshot_id"], F.col("path"), F.col("hash"))
     files = table(spark, d, "snap_files").select("snapshot_id", "id", "path", "language", "line_count").distinct()
@@ -593,9 +622,9 @@ def q_transitive_deps(spark, d):
     return graph.reach(e, asked.withColumn("seed", F.col("id")), 3, ("seed",))
 
 
-@add("q_circular")
+@add("q_circular", f"WITH RECURSIVE {_E}, {_cycles_sql('e')} SELECT id, component FROM scc")
 def q_circular(spark, d):
-    """Files on import cycles, parent declarations apart; checked against a brute-force search in the tests."""
+    """Files on import cycles, parent declarations apart."""
     e = edges_of(spark, d).where("import_type <> 'mod_decl' OR import_type IS NULL")
     return graph.strong_components(e)
 
@@ -635,26 +664,23 @@ def q_unused_files(spark, d):
 def q_barrel_exports(spark, d):
     """Files that each root of declarations reaches through them, itself included."""
     e = edges_of(spark, d).where("import_type = 'mod_decl'").select("src", "dst")
-    tree = hierarchy(e, "dst", "src")
-    return tree.where("parent IS NULL").select(F.col("id").alias("barrel"), (F.col("descendants") + 1).alias("reaches"))
+    roots = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return graph.reach(e, roots.withColumn("barrel", F.col("id")), None, ("barrel",)).groupBy("barrel").agg(F.count(F.lit(1)).alias("reaches"))
 
 
 
-@add("q_islands")
+@add("q_islands", f"WITH RECURSIVE {_EN}, {_islands_sql('e', 'n')} SELECT id, component FROM isl")
 def q_islands(spark, d):
-    """Connected components; SQL would list all pairs of a component, so the tests check it by brute force."""
+    """Connected components."""
     return graph.components(nodes_of(spark, d), edges_of(spark, d))
 
 
-@add("q_islands_page")
+@add("q_islands_page", f"""WITH RECURSIVE {_EN}, {_islands_sql('e', 'n')}, sizes AS (SELECT component, count(*) AS files FROM isl GROUP BY component)
+    SELECT component, files, row_number() OVER (ORDER BY files DESC, component) AS rank FROM sizes ORDER BY files DESC, component LIMIT 200""")
 def q_islands_page(spark, d):
-    """Islands of 2 files up to half of all, at most 500, the largest first, with their rank."""
-    all_nodes = nodes_of(spark, d)
-    sizes = graph.components(all_nodes, edges_of(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("files"))
-    most = min(500, max(2, all_nodes.count() // 2))
-    w = Window.orderBy(F.desc("files"), "component")
-    # the filter leaves small islands only, so ranking them is work for the number of islands, not of files
-    return sizes.where((F.col("files") >= 2) & (F.col("files") <= most)).orderBy(F.desc("files"), "component").limit(200).withColumn("rank", F.row_number().over(w))
+    """The first page of 200 islands of any size, the largest first, with their rank."""
+    nodes = nodes_of(spark, d)
+    return graph.islands_page(graph.components(nodes, edges_of(spark, d)), least=1, most=1 << 62)
 
 
 @add("q_entry_points", f"WITH {_CUR}, f AS (SELECT path, split_part(path, '/', -1) AS name FROM cur) SELECT path, CASE WHEN regexp_matches(name, '^main\\.(rs|go|py|c|cpp|zig)$|^cli\\.(rs|ts|py|js)$') THEN 'cli' WHEN regexp_matches(name, '^(server|app)\\.(rs|ts|js|py|go)$|^routes\\.(rs|ts|js|py)$') THEN 'http' WHEN name IN ('lib.rs', 'index.ts', 'index.js', 'mod.rs', '__init__.py') AND len(string_split(path, '/')) <= 2 THEN 'library' WHEN regexp_matches(path, '(^|/)(scripts|bin)/') THEN 'script' WHEN regexp_matches(regexp_replace(name, '\\.[^.]*$', ''), '^(conftest|jest\\.config|vitest\\.config|test_main)$') THEN 'test_runner' END AS kind FROM f")
@@ -670,9 +696,11 @@ def q_reading_order(spark, d):
     return graph.reach(e, tops, 5)
 
 
-@add("q_analysis_summary", f"WITH RECURSIVE {_EN}, {_BARREL} SELECT (SELECT count(*) FROM (SELECT dst FROM e WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) >= 2)) AS hotspots, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM alive) AND NOT {_ENTRY}) AS unused, (SELECT count(*) FROM n) AS files")
+@add("q_analysis_summary", f"""WITH RECURSIVE {_EN}, {_BARREL}, {_cycles_sql('e')}, {_islands_sql('e', 'n')}, sizes AS (SELECT component, count(*) AS n FROM isl GROUP BY component)
+    SELECT (SELECT count(*) FROM (SELECT dst FROM e WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) >= 2)) AS hotspots, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM alive) AND NOT {_ENTRY}) AS unused, (SELECT count(*) FROM n) AS files,
+        (SELECT count(DISTINCT component) FROM scc) AS cycles, (SELECT count(*) FROM sizes) AS islands, (SELECT count(*) FROM sizes WHERE n >= 2) AS multi_file_islands, (SELECT count(*) FROM sizes WHERE n = 1) AS singleton_islands""")
 def q_analysis_summary(spark, d):
-    """One row of counts; the SQL has hotspots, unused and files, the tests check all of it by brute force."""
+    """One row of counts."""
     e, nodes = edges_of(spark, d), nodes_of(spark, d)
     one = F.lit(1)
     hot = graph.hotspots(e).agg(F.count(one).alias("hotspots"))
@@ -709,17 +737,30 @@ def q_imports_extract(spark, d):
 
 @add("q_imports_classify", f"WITH {_IMP} SELECT language, {imports.CLASSIFY_SQL} AS import_type, count(*) AS rows FROM imp WHERE imported IS NOT NULL GROUP BY ALL")
 def q_imports_classify(spark, d):
-    return imports.classified(imports.imports(files_of(spark, d))).groupBy("language", "import_type").agg(F.count(F.lit(1)).alias("rows"))
+    files = files_of(spark, d)
+    return imports.classified(imports.imports(files), imports.projects(files)).groupBy("language", "import_type").agg(F.count(F.lit(1)).alias("rows"))
+
 
+_TYPED = f"{_IMP}, typed AS (SELECT path, language, line_no, imported, {imports.CLASSIFY_SQL} AS import_type FROM imp WHERE imported IS NOT NULL)"
 
-@add("q_imports_resolve")
+
+@add("q_imports_resolve", f"WITH {_TYPED}, {imports.RESOLVE_SQL.format(rows='typed')} SELECT t.language, t.import_type, count(*) AS rows, count(h.resolved) AS resolved FROM typed t LEFT JOIN hits h ON h.path = t.path AND h.imported = t.imported GROUP BY ALL")
 def q_imports_resolve(spark, d):
     """Imports by language and type, and how many lead to a file of the corpus."""
     files = files_of(spark, d)
-    rows = imports.resolved(imports.classified(imports.imports(files)), files)
+    rows = imports.resolved(imports.classified(imports.imports(files), imports.projects(files)), files)
     return rows.groupBy("language", "import_type").agg(F.count(F.lit(1)).alias("rows"), F.count("resolved").alias("resolved"))
 
 
+@add("q_exports_resolve", rf"""WITH {_LIN}, x AS (SELECT path, language, line_no, regexp_extract(line, '^[ \t]*export\s+(?:type\s+)?(\*(?:\s+as\s+\w+)?|\{{[^}}]*\}})\s*from\s*[''"]([^''"]+)[''"]', ['names', 'source']) AS m FROM lin WHERE language IN ('javascript', 'typescript', 'vue')),
+    typed AS (SELECT path, 'typescript' AS language, line_no, m.names, m.source AS imported, CASE WHEN regexp_matches(m.source, '^[.]{{1,2}}/|^/') THEN 'internal' ELSE 'external' END AS import_type FROM x WHERE m.source <> ''), {imports.RESOLVE_SQL.format(rows='typed')}
+    SELECT t.path, t.line_no, starts_with(t.names, '*') AS all_names, t.imported AS source, h.resolved FROM typed t LEFT JOIN hits h ON h.path = t.path AND h.imported = t.imported""")
+def q_exports_resolve(spark, d):
+    """Re-exports of scripts and the files they lead to."""
+    rows = imports.exports_resolved(files_of(spark, d))
+    return rows.groupBy("path", "line_no", "source").agg(F.bool_and(F.col("symbol").isNull()).alias("all_names"), F.max("resolved").alias("resolved")).select("path", "line_no", "all_names", "source", "resolved")
+
+
 @add("q_internal_deps", f"WITH {_EN} SELECT a.path AS path, b.path AS target FROM e JOIN n a ON a.id = e.src LEFT JOIN n b ON b.id = e.dst WHERE e.import_type = 'internal'")
 def q_internal_deps(spark, d):
     return q_direct_deps(spark, d).where("import_type = 'internal'").select("path", "target")
@@ -853,7 +894,10 @@ def _cycle_sizes(spark: SparkSession, d: str, snapshot: str) -> DataFrame:
     return named.agg(F.min(F.coalesce("path", F.col("id").cast("string"))).alias("subject"), F.count(F.lit(1)).alias("value")).select("subject", "value")
 
 
-@add("q_diff_cycles")
+@add("q_diff_cycles", f"""WITH RECURSIVE {_SNAPS}, {_at_sql('old', 'o')}, {_at_sql('new', 'w')}, {_cycles_sql('eo', 'sco')}, {_cycles_sql('ew', 'scw')},
+    mo AS (SELECT string_agg(p, ',' ORDER BY p) AS members FROM (SELECT DISTINCT component, coalesce(path, s.id::VARCHAR) AS p FROM sco s LEFT JOIN no x ON x.id = s.id) GROUP BY component),
+    mw AS (SELECT string_agg(p, ',' ORDER BY p) AS members FROM (SELECT DISTINCT component, coalesce(path, s.id::VARCHAR) AS p FROM scw s LEFT JOIN nw x ON x.id = s.id) GROUP BY component)
+    SELECT 'added' AS change, members FROM mw WHERE members NOT IN (SELECT members FROM mo) UNION ALL SELECT 'removed', members FROM mo WHERE members NOT IN (SELECT members FROM mw)""")
 def q_diff_cycles(spark, d):
     """Import cycles, as sorted lists of paths, that came or went between the last two snapshots."""
     old, new = (_cycle_paths(spark, d, s).select("members") for s in _snapshot_ids(spark, d)[-2:])
@@ -861,7 +905,8 @@ def q_diff_cycles(spark, d):
     return came.unionByName(old.join(new, "members", "left_anti").withColumn("change", F.lit("removed"))).select("change", F.array_join("members", ",").alias("members"))
 
 
-@add("q_diff_islands")
+@add("q_diff_islands", f"""WITH RECURSIVE {_SNAPS}, {_at_sql('old', 'o')}, {_at_sql('new', 'w')}, {_islands_sql('eo', 'no', 'iso')}, {_islands_sql('ew', 'nw', 'isw')}
+    SELECT (SELECT count(DISTINCT component) FROM iso) AS old_islands, (SELECT count(DISTINCT component) FROM isw) AS new_islands""")
 def q_diff_islands(spark, d):
     """Number of islands in the last two snapshots."""
     old, new = _snapshot_ids(spark, d)[-2:]
@@ -869,12 +914,13 @@ def q_diff_islands(spark, d):
     return counts[0].join(F.broadcast(counts[1]))  # one row each
 
 
-@add("q_threshold_alerts", f"""WITH {_HOT2}, fo AS (SELECT DISTINCT path, line_count FROM snap_files WHERE snapshot_id = (SELECT old FROM ids)), fn AS (SELECT DISTINCT path, line_count FROM snap_files WHERE snapshot_id = (SELECT new FROM ids))
+@add("q_threshold_alerts", f"""WITH RECURSIVE {_HOT2}, {_at_sql('new', 'w')}, {_cycles_sql('ew', 'scw')}, fo AS (SELECT DISTINCT path, line_count FROM snap_files WHERE snapshot_id = (SELECT old FROM ids)), fn AS (SELECT DISTINCT path, line_count FROM snap_files WHERE snapshot_id = (SELECT new FROM ids))
     SELECT CASE WHEN c >= 25 THEN 'critical' ELSE 'warning' END AS severity, 'fan_in' AS category, path AS subject, c::DOUBLE AS value FROM hn WHERE c >= 10
+    UNION ALL SELECT 'warning', 'circular_dependency', min(coalesce(path, s.id::VARCHAR)), count(*)::DOUBLE FROM scw s LEFT JOIN (SELECT id, min(path) AS path FROM nw GROUP BY id) x ON x.id = s.id GROUP BY component HAVING count(*) >= 3
     UNION ALL SELECT 'warning', 'module_size', {_MOD.format('path')}, count(*)::DOUBLE FROM fn GROUP BY 3 HAVING count(*) >= 50
     UNION ALL SELECT 'warning', 'line_growth', path, fn.line_count::DOUBLE / fo.line_count FROM fo JOIN fn USING (path) WHERE fo.line_count > 0 AND fn.line_count::DOUBLE / fo.line_count >= 2""")
 def q_threshold_alerts(spark, d):
-    """Alerts of the last snapshot; the SQL has all but the cycles, which the tests check by brute force."""
+    """Alerts of the last snapshot."""
     old, new = snapshot_files(spark, d)
     hot = _edge_paths(spark, d, _snapshot_ids(spark, d)[-1]).groupBy(F.col("target").alias("subject")).agg(F.count(F.lit(1)).alias("value"))
     modules = snapshots.module_metrics(new, [], first_segment(F.col("path"))).select(F.col("module").alias("subject"), F.col("files").alias("value"))

@@ -150,3 +150,21 @@ def test_commit_log(spark):
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate(log)], "source string, line_no int, value string")
     got = {(r.hash, r.author, r.ts, r.subject, r.path) for r in parse_log(df).collect()}
     assert got == {("abcdef1", "ann", 100, "first", "src/a.rs"), ("abcdef1", "ann", 100, "first", "src/b.rs"), ("abcdef2", "bob", 200, "no|files", None)}
+
+
+def test_rounds_of_joins_agree_with_one_task(spark, monkeypatch):
+    """What one task solves and what rounds of joins find is the same, on random graphs with loops and repeats."""
+    import random
+
+    from quarrylight.operators import graph as g
+
+    r = random.Random(5)
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(45)] + [(50, 51), (51, 50), (60, 60), (None, 1), (2, None)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(70)], "id long")
+    results = []
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(g, "LOCAL_EDGES", limit)
+        results.append((sorted(map(tuple, g.strong_components(df).collect())), sorted(map(tuple, g.components(nodes, df).collect()))))
+    assert results[0] == results[1]
+    assert (50, 51) in results[0][0] and (60, 60) in results[0][0] and len(results[0][1]) == 70

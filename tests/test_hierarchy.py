@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from quarrylight.operators.hierarchy import cycle_ids, hierarchy
+from quarrylight.operators.hierarchy import cycle_ids, descendants, hierarchy, other_parents, paths as paths_of
 
 SCHEMA = "child long, parent long, id long"
 
@@ -36,8 +36,10 @@ def check(spark, links):
     paths, bad = brute(links)
     df = frame(spark, links)
     assert {r.id for r in cycle_ids(df, "child", "parent").collect()} == bad
-    rows = {r.id: r for r in hierarchy(df, "child", "parent").collect()}
-    assert {i: list(r.path) for i, r in rows.items()} == paths
+    tree = hierarchy(df, "child", "parent")
+    rows = {r.id: r for r in tree.collect()}
+    assert {r.id: list(r.path) for r in paths_of(tree).collect()} == paths
+    assert sorted((r.id, r.descendant) for r in descendants(tree).collect()) == sorted((a, n) for n, path in paths.items() for a in path[:-1])
     for i, r in rows.items():
         assert (r.root, r.depth) == (paths[i][0], len(paths[i]) - 1)
         below = {j for j, x in rows.items() if x.root == r.root and r.lft < x.lft <= r.rgt}
@@ -64,3 +66,16 @@ def test_empty(spark):
 def test_null_only(spark):
     df = frame(spark, [(None, None), (None, 1)])
     assert hierarchy(df, "child", "parent").count() == 0
+
+
+def test_ranges_unroll_in_pieces(spark, monkeypatch):
+    import quarrylight.operators.hierarchy as h
+
+    monkeypatch.setattr(h, "RANGE_PIECE", 7)
+    check(spark, [(i, i // 3) for i in range(1, 60)])
+
+
+def test_further_parents_are_named(spark):
+    df = frame(spark, [(5, 2), (5, 1), (5, 3), (5, 3), (6, 5), (7, None), (None, 1)])
+    assert sorted(tuple(r) for r in other_parents(df, "child", "parent").collect()) == [(5, 2), (5, 3)]
+    assert other_parents(frame(spark, []), "child", "parent").count() == 0
