@@ -86,7 +86,7 @@ ZIG_STDLIB = ("std", "builtin", "root")
 
 
 def _any_of(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(w.replace(".", "[.]").replace("/", "/") for w in words) + ")"
+    return "(?:" + "|".join(w.rstrip("/").replace(".", "[.]") for w in words) + ")"
 
 
 #: (languages, ((pattern, import type), ...), import type else): the first pattern that an import matches decides. The

@@ -298,7 +298,7 @@ def q_multi_query_merge(spark, d):
 _WORDS = search.question_words(QUESTION)
 
 
-@add("q_doc_search", "WITH l AS (SELECT doc_id, unnest(range(1, 1 + len(a))) AS k, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS a FROM documents WHERE kind = 'readme' AND text <> '')), s AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS section, (" + " + ".join(f"contains(lower(line), '{w}')::INT" for w in _WORDS) + ") * CASE WHEN starts_with(line, '#') THEN 10 ELSE 1 END AS p FROM l) SELECT doc_id, section, max(CASE WHEN starts_with(line, '#') THEN line END) AS title, sum(p) AS score FROM s GROUP BY doc_id, section HAVING sum(p) >= 2")
+@add("q_doc_search", "WITH l AS (SELECT doc_id, unnest(range(1, 1 + len(a))) AS k, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS a FROM documents WHERE kind = 'readme' AND text <> '')), s AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS section, (" + " + ".join(f"contains(lower(line), '{w}')::INT" for w in _WORDS) + ") * CASE WHEN starts_with(line, '#') THEN 10 ELSE 1 END AS p FROM l), g AS (SELECT doc_id, section, max(CASE WHEN starts_with(line, '#') THEN line END) AS title, sum(p) AS score, count(*) AS n FROM s GROUP BY doc_id, section), h AS (SELECT *, max((n > 150)::INT) OVER (PARTITION BY doc_id ORDER BY section) AS far FROM g) SELECT doc_id, section, title, score FROM h WHERE far = 0 AND score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY section) <= 3")
 def q_doc_search(spark, d):
     readmes = table(spark, d, "documents").where("kind = 'readme'").select("doc_id", F.col("text").alias("content"))
     return search.section_scores(readmes, QUESTION, "doc_id")
@@ -385,6 +385,12 @@ def q_symbols_contains(spark, d):
     return search.symbol_hits(symbols_of(spark, d), QuerySpec(pattern=WORD, symbols=True, use_contains=True)).select("path", "start_line", "symbol")
 
 
+@add("q_symbols_in_code", f"WITH {_SYM}, {_LIN.split(_CUR, 1)[1].lstrip(', ')}, c AS (SELECT DISTINCT path FROM lin WHERE contains(line, '{_NAME}') AND contains({search.code_of_sql('line', 'language')}, '{_NAME}')) SELECT DISTINCT path, start_line, symbol FROM sym WHERE symbol = '{_NAME}' AND path IN (SELECT path FROM c)")
+def q_symbols_in_code(spark, d):
+    """A name looked up in the files that have it outside of comments and strings."""
+    return search.symbol_hits(symbols_of(spark, d), QuerySpec(pattern=_NAME, symbols=True, exact=True), files_of(spark, d)).select("path", "start_line", "symbol")
+
+
 @add("q_symbols_regex", f"WITH {_SYM}, {_LIN.split(_CUR, 1)[1].lstrip(', ')}, m AS (SELECT path, line_no FROM lin WHERE regexp_matches(line, '{REGEX}')) SELECT DISTINCT s.path, s.start_line, s.symbol FROM sym s JOIN m ON m.path = s.path AND m.line_no BETWEEN s.start_line AND s.end_line")
 def q_symbols_regex(spark, d):
     return search.symbol_hits(symbols_of(spark, d), QuerySpec(pattern=REGEX, symbols=True, use_regex=True), files_of(spark, d)).select("path", "start_line", "symbol")

@@ -66,9 +66,12 @@ class Folder:
             self._fs.delete(part, False)
             raise FileExistsError(f"{self.path}/{name} was committed by another run")
 
-    def get_json(self, name: str) -> object:
+    def get_text(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+
+    def get_json(self, name: str) -> object:
+        return json.loads(self.get_text(name))
