@@ -22,8 +22,8 @@ def ignore_pattern(rule: str, folder: str = "") -> tuple[str, bool] | None:
     back = rule.startswith("!")
     rule = rule[back:]
     only_folders = rule.endswith("/")
-    rule = rule.strip("/") if rule.count("/") > 1 or rule.startswith("/") else rule.rstrip("/")
-    anchored = "/" in rule or rule != rule.lstrip("/")
+    anchored = "/" in rule.rstrip("/")
+    rule = rule.strip("/")
     body = "".join(
         {"**/": "(?:.*/)?", "/**": "(?:/.*)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, t if t.startswith("[") else re.escape(t)) for t in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]*\]|.", rule)
     )
