@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.sources.shared import cut
+from quarrylight.sources.shared import Rounds, cut
 
 LOCAL_EDGES = 1_000_000  # edges that one task solves by itself; beyond them, rounds of joins shrink the graph first
 
@@ -133,7 +133,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return linked.unionByName(nodes.select("id").distinct().join(linked, "id", "left_anti").withColumn("component", F.col("id")))
     pairs = cut(pairs.union(pairs.select("dst", "src")), "components")
     ids = nodes.select("id").union(pairs.select("src")).distinct()
-    labels = cut(ids.select("id", F.col("id").alias("label")), "components")
+    rounds = Rounds("components")
+    labels = rounds.cut(ids.select("id", F.col("id").alias("label")))
     while True:
         best = pairs.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("_n"))
         least = labels.join(best, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", F.coalesce("_n", "label")).alias("label"))
@@ -141,7 +142,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooks = least.groupBy(F.col("_old").alias("id")).agg(F.min("label").alias("_h"))
         hooked = least.join(hooks, "id", "left").select("id", "_old", F.least("label", F.coalesce("_h", "label")).alias("label"))
         jump = hooked.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-        now = cut(hooked.join(jump, "label", "left").select("id", "_old", F.least("label", F.coalesce("_up", "label")).alias("label")), "components")
+        now = rounds.cut(hooked.join(jump, "label", "left").select("id", "_old", F.least("label", F.coalesce("_up", "label")).alias("label")))
         changed = now.where("label <> _old").isEmpty()
         labels = now.select("id", "label")
         if changed:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.sources.shared import cut
+from quarrylight.sources.shared import Rounds
 
 SIBLING_SLICES = 256
 RANGE_PIECE = 100_000  # places of a range that are unrolled at a time
@@ -40,7 +40,8 @@ def other_parents(links: DataFrame, child: str, parent: str) -> DataFrame:
 
 def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, parent, root, depth, size) of the nodes in trees, and (id) of the nodes on or below cycles."""
-    state = cut(nodes.select("id", "parent", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")), "climb")
+    rounds = Rounds("climb")
+    state = rounds.cut(nodes.select("id", "parent", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")))
     live = state.where("up IS NOT NULL").count()
     while live:
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
@@ -49,7 +50,7 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         moved = climbing.join(above, "up").select("id", "parent", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), "size")
         done = state.where("up IS NULL").select("id", "parent", "up", "root", "depth", "size")
         grown = moved.unionByName(done).join(below, "id", "left")
-        state = cut(grown.select("id", "parent", "up", "root", "depth", F.try_add("size", F.coalesce("_size", F.lit(0))).alias("size")), "climb")
+        state = rounds.cut(grown.select("id", "parent", "up", "root", "depth", F.try_add("size", F.coalesce("_size", F.lit(0))).alias("size")))
         # A node this deep has an ancestor of every smaller depth; so if no pointer ran out, all that are left go round.
         left = state.where("up IS NOT NULL").count()
         if left == live:
@@ -88,13 +89,14 @@ def hierarchy(links: DataFrame, child: str, parent: str) -> DataFrame:
     """
     tree, _ = _climb(nodes_of(links, child, parent))
     steps = tree.join(_sibling_offsets(tree), "id", "left")
-    state = cut(steps.select("id", "parent", "root", "depth", "size", F.col("parent").alias("up"), F.coalesce("step", F.lit(0)).cast("long").alias("lft")), "descend")
+    rounds = Rounds("descend")
+    state = rounds.cut(steps.select("id", "parent", "root", "depth", "size", F.col("parent").alias("up"), F.coalesce("step", F.lit(0)).cast("long").alias("lft")))
     deepest = state.agg(F.max("depth")).first()[0] or 0
     reach = 1
     while reach <= deepest:
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("lft").alias("_lft"))
         moved = state.where("up IS NOT NULL").join(above, "up").select("id", "parent", "root", "depth", "size", F.col("_up").alias("up"), (F.col("lft") + F.col("_lft")).alias("lft"))
-        state = cut(moved.unionByName(state.where("up IS NULL").select(*moved.columns)), "descend")
+        state = rounds.cut(moved.unionByName(state.where("up IS NULL").select(*moved.columns)))
         reach *= 2
     return state.select("id", "parent", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("descendants"))
 

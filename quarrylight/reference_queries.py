@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.corpus import CORPUS_SQL, LINES_CTE, corpus, lines
 from quarrylight.functions.paths import first_segment, path_variants, prefixes
 from quarrylight.functions.text import line_array, required_literals, truncated, word_pattern_re2
-from quarrylight.operators import activity, graph, imports, search, snapshots, symbols, trigram
+from quarrylight.operators import activity, detection, graph, imports, search, snapshots, symbols, trigram
 from quarrylight.operators.incremental import run_states
 from quarrylight.plans.registry import Registry
 from quarrylight.plans.spec import QuerySpec, evaluation_score, instruction, parse_command
@@ -516,6 +516,18 @@ def q_treemap(spark, d):
     return files_of(spark, d, False).select(F.explode(prefixes(F.col("path"))).alias("folder"), "line_count").groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"))
 
 
+@add("q_treemap_collapsed", f"""WITH {_CUR}, p AS (SELECT path, line_count, list_transform(range(1, len(s)), lambda n: array_to_string(s[1:n], '/')) AS folders FROM (SELECT *, string_split(path, '/') AS s FROM cur)),
+    f AS (SELECT unnest(folders) AS folder, line_count, path FROM p), sums AS (SELECT folder, count(*) AS files, coalesce(sum(line_count), 0) AS lines FROM f GROUP BY folder),
+    own AS (SELECT folders[-1] AS folder, count(*) AS n FROM p WHERE len(folders) > 0 GROUP BY 1), kids AS (SELECT regexp_replace(folder, '/[^/]*$', '') AS folder, count(*) AS n FROM sums WHERE contains(folder, '/') GROUP BY 1)
+    SELECT sums.* FROM sums LEFT JOIN own USING (folder) LEFT JOIN kids USING (folder) WHERE NOT (own.n IS NULL AND kids.n = 1)""")
+def q_treemap_collapsed(spark, d):
+    """The folders of a treemap in which one that holds a single folder and nothing else is shown as that folder."""
+    sums = q_treemap(spark, d)
+    own = files_of(spark, d, False).where(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).distinct().withColumn("_own", F.lit(True))
+    kids = sums.where(F.contains("folder", F.lit("/"))).groupBy(F.regexp_replace("folder", r"/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("_kids"))
+    return sums.join(own, "folder", "left").join(kids, "folder", "left").where(F.col("_own").isNotNull() | F.coalesce(F.col("_kids") != 1, F.lit(True))).select("folder", "files", "lines")
+
+
 # Folders that a tree doesn't show.
 _HIDDEN = r"(^|/)(target|node_modules|dist|build|__pycache__|vendor|coverage|\.[^/]+)/"
 
@@ -1049,3 +1061,14 @@ def q_frameworks(spark, d):
     """Layout marks per repository: tests, examples, and a crate of its own."""
     rows = lines(files_of(spark, d).select("path", "language", "content"))
     return rows.groupBy(first_segment(F.col("path")).alias("repository")).agg(F.bool_or(F.col("path").rlike("(^|/)tests?/")).alias("has_tests"), F.bool_or(F.col("path").rlike("(^|/)examples/")).alias("has_examples"), F.bool_or((F.col("language") == "rust") & F.col("line").rlike("^use crate::")).alias("has_crate"))
+
+
+# ---- what a repository is: rules over paths and texts ------------------------------------------------------------------
+
+_RULE_ROWS = ", ".join("('{}', '{}', '{}', '{}')".format(*(x.replace("'", "''") for x in rule)) for rule in detection.RULES)
+
+
+@add("q_context_bundle", f"WITH {_CUR}, rules(kind, name, path_rule, text_rule) AS (VALUES {_RULE_ROWS}) SELECT DISTINCT {_MOD.format('path')} AS repository, kind, name FROM cur, rules WHERE regexp_matches(path, path_rule) AND (text_rule = '' OR regexp_matches(coalesce(content, ''), text_rule))")
+def q_context_bundle(spark, d):
+    """Project types, frameworks, configuration files and test layouts of each repository."""
+    return detection.detected(files_of(spark, d))

@@ -33,6 +33,21 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of a loop in which each replaces the one before: what a round has read is deleted once the next is written."""
+
+    def __init__(self, purpose: str) -> None:
+        self.purpose, self.last = purpose, None
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(df.sparkSession, self.purpose)
+        df.write.parquet(path)
+        if self.last is not None:
+            Folder(df.sparkSession, self.last).remove("")
+        self.last = path
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Folder:
     """Small files of a folder on any Hadoop file system."""
 
