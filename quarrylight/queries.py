@@ -156,7 +156,7 @@ def _month(snapshot_id: str = "snapshot_id"):
 def _references(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     of_symbols = symbols.select(F.lit("symbols").alias("table_name"), F.lit("file_id").alias("field_name"), F.date_format("last_cached", "yyyy-MM").alias("period"), F.lit("").alias("scope"), F.col("file_id").alias("id"))
     ends = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("id")) for c in ("source_file_id", "target_file_id")]))
-    of_edges = edges.select("snapshot_id", "source_file_id", "target_file_id").distinct().select("snapshot_id", ends.alias("end"))
+    of_edges = edges.select("snapshot_id", ends.alias("end"))
     of_edges = of_edges.select(F.lit("dependency_edges").alias("table_name"), "end.field_name", _month().alias("period"), F.col("snapshot_id").alias("scope"), "end.id")
     return of_symbols.unionByName(of_edges)
 
@@ -219,6 +219,19 @@ def p6_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     return tracker.counts()
 
 
+_P6_LEFT = _P6_REFS.replace("UNION SELECT snapshot_id, id FROM snap_files)", "UNION SELECT snapshot_id, id FROM snap_files WHERE snapshot_id < (SELECT max(snapshot_id) FROM snap_files))")
+
+
+@REGISTRY.add("p6_reopened", f"WITH {_P6_LEFT} SELECT table_name, field_name, period, count(DISTINCT file_id) AS orphans FROM orphans GROUP BY ALL")
+def p6_reopened(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A further batch that deletes the files of the last snapshot: what referred to them waits again."""
+    tracker = _tracked(spark, data_dir)
+    snap_files = table(spark, data_dir, "snap_files").select("snapshot_id", "id")
+    last = snap_files.agg(F.max("snapshot_id")).first()[0]
+    tracker.advance(deleted=snap_files.where(F.col("snapshot_id") == F.lit(last)).select(F.col("snapshot_id").alias("scope"), "id"))
+    return tracker.counts()
+
+
 def _with_ends(edges: DataFrame, known: DataFrame, core: DataFrame) -> DataFrame:
     """Edges with source_v and target_v, what ``known`` (snapshot_id, id, v) or the core (id, v) says of their ends.
 
