@@ -25,8 +25,14 @@ def consecutive(snapshots: list[str]) -> list[tuple[str, str]]:
 
 
 def _sorted_rows(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order: repeats go here, so no shuffle has to look for them."""
     order = np.lexsort((rows, keys))
-    return keys[order], rows[order]
+    keys, rows = keys[order], rows[order]
+    if len(keys):
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+        keys, rows = keys[first], rows[first]
+    return keys, rows
 
 
 def _missing(keys: np.ndarray, rows: np.ndarray, in_keys: np.ndarray, in_rows: np.ndarray) -> np.ndarray:
@@ -95,6 +101,6 @@ def diff(records: DataFrame, group: list[str], key: list[str], values: list[str]
     hashed = records.withColumn("_k", F.xxhash64(*identity)).withColumn("_r", row_hash(identity, values))
     if buckets is None:
         buckets = -(-records.count() // ROWS_PER_BUCKET)
-    found = candidates(hashed.select("snapshot_id", "_k", "_r").distinct(), snapshots, buckets)
+    found = candidates(hashed.select("snapshot_id", "_k", "_r"), snapshots, buckets)
     full = hashed.select("snapshot_id", "_k", *group, *key, *values).join(found, ["snapshot_id", "_k"])
     return classified(full, group, key, values)

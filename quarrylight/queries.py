@@ -257,12 +257,12 @@ def _changes(spark: SparkSession, data_dir: str) -> DataFrame:
     snapshots = [r[0] for r in files.select("snapshot_id").union(edges.select("snapshot_id")).where("snapshot_id IS NOT NULL").distinct().collect()]  # one row per snapshot
     buckets = -(-(files.count() + edges.count()) // ROWS_PER_BUCKET)  # counts from the Parquet footers
 
-    whole = edges.where("source_file_id IS NOT NULL AND target_file_id IS NOT NULL").distinct()
+    whole = edges.where("source_file_id IS NOT NULL AND target_file_id IS NOT NULL")
     hashed = cut(_with_ends(whole, known.withColumn("v", F.xxhash64("v")), core.withColumn("v", F.xxhash64("v"))), "edge-hashes")
     ends = [F.lit("edge"), F.col("source_v"), F.col("target_v")]
     edge_rows = hashed.select("snapshot_id", "source_file_id", "target_file_id", "import_type", F.xxhash64(*ends).alias("_k"), row_hash(ends, ["import_type"]).alias("_r"))
     path = [F.lit("file"), F.col("path")]
-    file_rows = files.drop("id").distinct().select("*", F.xxhash64(*path).alias("_k"), row_hash(path, ["language", "line_count"]).alias("_r"))
+    file_rows = files.drop("id").select("*", F.xxhash64(*path).alias("_k"), row_hash(path, ["language", "line_count"]).alias("_r"))
     found = cut(candidates(edge_rows.select("snapshot_id", "_k", "_r").unionByName(file_rows.select("snapshot_id", "_k", "_r")), snapshots, buckets), "differing-keys")
 
     of_edges = _with_ends(edge_rows.join(found, ["snapshot_id", "_k"]).select("snapshot_id", "source_file_id", "target_file_id", "import_type", "_step", "later"), known, core)
