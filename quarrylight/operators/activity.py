@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,23 @@ def parse_log(text: DataFrame, column: str = "value") -> DataFrame:
     return heads.join(paths, ["source", "_c"], "left").select("hash", "author", "email", F.col("ts").cast("long").alias("ts"), "subject", "path")
 
 
+RECORD = "\x1e"  # ends a commit in logs written as ``%H|%an|%ae|%at|%s`` with this sign before each
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, author, email, ts, subject, path) of log files whose commits RECORD parts: each is a row, so a log of any size splits."""
+    return parse_records(spark.read.option("lineSep", RECORD).text(path), "value")
+
+
+def parse_records(records: DataFrame, column: str) -> DataFrame:
+    """(hash, author, email, ts, subject, path) of commits, one text each: the head line and below it the paths, NULL where there is none."""
+    rows = F.filter(F.split(F.trim(column), "\r?\n"), lambda x: F.trim(x) != "")
+    head = r"^([0-9a-f]{7,40})\|([^|]*)\|([^|]*)\|(\d+)\|(.*)$"
+    cut = records.select(rows.alias("_rows")).where(F.get("_rows", F.lit(0)).rlike(head))
+    fields = [F.regexp_extract(F.col("_rows")[0], head, i).alias(n) for i, n in enumerate(("hash", "author", "email", "ts", "subject"), 1)]
+    return cut.select(*fields, F.explode_outer(F.slice("_rows", F.lit(2), F.size("_rows"))).alias("path")).withColumn("ts", F.col("ts").cast("long")).select("hash", "author", "email", "ts", "subject", "path")
+
+
 def contributors(commits: DataFrame) -> DataFrame:
     """(author, email, commits): commits per author, with the email of the first one."""
     return commits.groupBy("author").agg(F.min_by("email", F.struct("ts", "hash")).alias("email"), F.count_distinct("hash").alias("commits"))

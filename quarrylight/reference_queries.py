@@ -1011,6 +1011,15 @@ def q_commit_parse(spark, d):
     return table(spark, d, "documents").where("kind = 'commit' AND text <> ''").where(first.rlike(r"^[a-z]+\([a-z_]+\): ")).groupBy("source").agg(F.count(F.lit(1)).alias("commits"))
 
 
+@add("q_commit_log", "SELECT o_custkey::VARCHAR AS author, count(DISTINCT o_orderkey) AS commits, count(l_partkey) AS paths FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def q_commit_log(spark, d):
+    """A log as a versioning tool writes it, a record per commit, parsed back to commits and paths."""
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), "\n").alias("paths"))
+    head = F.concat_ws("|", F.lower(F.lpad(F.hex("o_orderkey"), 8, "0")), F.col("o_custkey").cast("string"), F.lit("a@b"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string"), "o_orderpriority")
+    records = table(spark, d, "orders").join(items, "o_orderkey", "left").select(F.concat_ws("\n", head, "paths").alias("record"))
+    return activity.parse_records(records, "record").groupBy("author").agg(F.count_distinct("hash").alias("commits"), F.count("path").alias("paths"))
+
+
 @add("q_changelog", "SELECT regexp_extract(l, '^([a-z]+)\\(([a-z_]+)\\): ', 1) AS change, regexp_extract(l, '^([a-z]+)\\(([a-z_]+)\\): ', 2) AS scope, count(*) AS commits FROM (SELECT split_part(replace(text, chr(13), ''), chr(10), 1) AS l FROM documents WHERE kind = 'commit' AND text <> '') WHERE regexp_matches(l, '^[a-z]+\\([a-z_]+\\): ') GROUP BY ALL")
 def q_changelog(spark, d):
     first = F.substring_index(F.replace("text", F.lit("\r"), F.lit("")), "\n", 1)
