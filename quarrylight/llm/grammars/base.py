@@ -57,13 +57,16 @@ class Reader:
     def recalled(self, end: str, known: set) -> tuple[int, tuple] | None:
         """Reads on past the next ``end`` if what stands before it has been read before; else its place and the kinds.
 
-        A statement that ended there once ends there again, because no rule looks past the end of a statement.
+        A statement that ended there once ends there again, because no rule looks past the end of a statement; but for
+        the one with an ``if``, which an ``else`` may follow.
         """
         try:
             at = self.k.index(end, self.p, self.p + SHORT)
         except ValueError:
             return -1, ()
         key = tuple(self.k[self.p : at])
+        if "if" in key:
+            return -1, ()
         if key in known:
             self.p = at + 1
             return None

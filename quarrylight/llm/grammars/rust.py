@@ -454,7 +454,7 @@ class _Rust(Reader):
 
     def type_path(self) -> None:
         k = self.k
-        if k[self.p] == "<":
+        if k[self.p] in ("<", "<<"):
             self.qualified_self()
         else:
             self.take("::")
@@ -467,6 +467,7 @@ class _Rust(Reader):
             self.path_args()
 
     def qualified_self(self) -> None:
+        self.split_shift()
         self.need("<")
         self.type()
         if self.take("as"):
@@ -490,10 +491,14 @@ class _Rust(Reader):
             if self.take("->"):
                 self.type()
 
-    def generic_args(self) -> None:
+    def split_shift(self) -> None:
+        """A << that opens two brackets."""
         if self.k[self.p] == "<<":
             self.k[self.p : self.p + 1] = ["<", "<"]
             self._mates = None
+
+    def generic_args(self) -> None:
+        self.split_shift()
         self.need("<")
         while not self.take(">"):
             self.generic_arg()
@@ -623,7 +628,7 @@ class _Rust(Reader):
 
     def expr_path(self) -> None:
         k = self.k
-        if k[self.p] == "<":
+        if k[self.p] in ("<", "<<"):
             self.qualified_self()
         else:
             self.take("::")
@@ -812,7 +817,7 @@ class _Rust(Reader):
         k, t = self.k, self.k[self.p]
         if t == "v":
             self.p += 1
-        elif t in _PATH or t == "::" or t == "<":
+        elif t in _PATH or t in ("::", "<", "<<"):
             self.expr_path()
             n = k[self.p]
             if n == "!" and k[self.p + 1] in ("(", "[", "{"):

@@ -243,7 +243,7 @@ class _Script(Reader):
             self.p += 2
             self.variables()
             self.semicolon()
-        elif t == "var" or t == "const" or t == "let" and (k[self.p + 1] in _NAME and (k[self.p + 1] != "of" or k[self.p + 2] in ("=", ";", ",")) or k[self.p + 1] in ("[", "{")) or t == "using" and k[self.p + 1] == "i" and not self.breaks[self.p + 1]:
+        elif t == "var" or t == "const" or t == "let" and (k[self.p + 1] in _NAME and (k[self.p + 1] != "of" or k[self.p + 2] in ("=", ";", ",")) or k[self.p + 1] in ("[", "{")) or t == "using" and k[self.p + 1] in _NAME and k[self.p + 2] == "=" and not self.breaks[self.p + 1]:
             if t == "const" and k[self.p + 1] == "enum" and self.typed:
                 self.p += 1
                 self.enum()

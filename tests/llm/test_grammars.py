@@ -25,7 +25,7 @@ EXPRESSIONS = {
         "a", "1_000", "0x1F", "1.5e3i", "'\\n'", '"q"', "`raw\n`", "a.b.c()", "a[1:2:3]", "a[:]", "*p", "&T{}", "&pkg.T{A: 1, B: []int{1}}", "[]int{1, 2,}", "[...]string{0: \"a\"}", "map[string][]int{\"a\": {1}, \"b\": nil}", "struct{ a int }{1}", "[][]int{{1}, {2}}", "func() {}", "func(a, b int, c ...string) (d int, err error) { return }", "<-ch", "x.(T)", "x.(interface{ M() })", "[]byte(s)", "func(int) string(nil)", "(*T)(p)", "(func())(nil)", "interface{}(x)", "make(chan int, 1)", "make([]map[string]int, 0)", "new(T)", "Map[int, string](xs, func(i int) string { return \"\" })", "G[int]{}", "a + b*c - d/e%f", "a && !b || c", "a &^ b | c ^ d << 1", "-a", "^a", "f(xs...)", "f(g(a, b))", "a.b[c].d(e)(f)", "chan<- int(nil)", "len(a) > 0", "pkg.G[int, *T](x)", "struct{}{}",
     ],
     "rs": [
-        "a", "1_000u64", "0xFFi32", "1.5e-3f64", "'\\u{1F600}'", "b'x'", '"q\\""', 'r#"raw "q" "#', 'b"x"', "a.b.c()", "a.0.1", "x[1..]", "..", "..=3", "1..2", "a?", "f()?.g()?", "x as u8 as char", "-a", "!b", "*c", "&mut d", "&&e", "&raw const f", "(a,)", "()", "[1; 3]", "[1, 2,]", "S { a, b: 1, ..d }", "m::S {}", "Vec::<Vec<u8>>::new()", "<T as A<B>>::f(x)", "a.parse::<i32>()", "|a, &b| a + b", "move || {}", "|x: &[u8]| -> Vec<Vec<u8>> { vec![] }", "async move { x.await }", "unsafe { f() }", "if a { b } else if let Some(c) = d && e { f } else { g }", "match x { A => 1, B(c) | D { c, .. } if c > 1 => { 2 } [a, .., b] => 3, 1..=9 | b'x' => 4, ref y @ Z::W => 5, _ => return }", "loop { break 1 }", "'a: loop { break 'a x }", "vec![1, 2]", "format!(\"{}\", a)", "matches!(x, A | B)", "a && b || c", "a << 2 >> 3", "a >= b", "x = y", "x += 1", "const { 1 }", "return", "Box::new(|a| a) as Box<dyn Fn(u8) -> u8 + Send>", "a.iter().map(|(k, v)| (k, v)).collect::<HashMap<_, Vec<_>>>()",
+        "a", "1_000u64", "0xFFi32", "1.5e-3f64", "'\\u{1F600}'", "b'x'", '"q\\""', 'r#"raw "q" "#', 'b"x"', "a.b.c()", "a.0.1", "x[1..]", "..", "..=3", "1..2", "a?", "f()?.g()?", "x as u8 as char", "-a", "!b", "*c", "&mut d", "&&e", "&raw const f", "(a,)", "()", "[1; 3]", "[1, 2,]", "S { a, b: 1, ..d }", "m::S {}", "Vec::<Vec<u8>>::new()", "<T as A<B>>::f(x)", "<<T as A>::B as C>::f::<<T as A>::D>(x)", "a.parse::<i32>()", "|a, &b| a + b", "move || {}", "|x: &[u8]| -> Vec<Vec<u8>> { vec![] }", "async move { x.await }", "unsafe { f() }", "if a { b } else if let Some(c) = d && e { f } else { g }", "match x { A => 1, B(c) | D { c, .. } if c > 1 => { 2 } [a, .., b] => 3, 1..=9 | b'x' => 4, ref y @ Z::W => 5, _ => return }", "loop { break 1 }", "'a: loop { break 'a x }", "vec![1, 2]", "format!(\"{}\", a)", "matches!(x, A | B)", "a && b || c", "a << 2 >> 3", "a >= b", "x = y", "x += 1", "const { 1 }", "return", "Box::new(|a| a) as Box<dyn Fn(u8) -> u8 + Send>", "a.iter().map(|(k, v)| (k, v)).collect::<HashMap<_, Vec<_>>>()",
     ],
     "c": [
         "a", "1UL", "0x1Fu", "1.5e3f", "'\\n'", "L'x'", '"a" "b"', '"a" PRIu64 "b"', "a.b->c", "a[1][2]", "f(a, b)", "(a, b)", "a ? b : c", "(int)x", "(unsigned char *)p", "(const struct s *)q", "(T)x", "(T *)p", "(struct s){1, .b = 2}", "sizeof(int)", "sizeof x", "sizeof(struct s *)", "&a", "*p", "-a", "~b", "!c", "a++", "--b", "a + b * c", "a << 1 | b >> 2", "a && b || c", "a = b = c", "a += b", "(*fp)(a)", "a->fn(b)(c)", "((T)f)(x)", "&arr[0]", "a == b != c", "(a) + (b)", "(a) * b", "f((char)c, (T *)d)", "offsetof(struct s, m)", "va_arg(ap, int)", "({ int y = 1; y; })", "p[i]->q.r", "*p++", "(void)0", "(size_t)(n) * sizeof(*p)",
@@ -113,3 +113,9 @@ def test_nesting_beyond_any_stack():
     for language, text in (("js", "f(" * 20_000 + ")" * 20_000), ("java", "class A { void m() { f(" + "(" * 20_000 + "1" + ")" * 20_000 + "); } }"), ("rs", "fn f() { " + "{" * 20_000 + "}" * 20_000 + "}"), ("c", "int f() {" + "{" * 20_000 + "}" * 20_000 + "}")):
         assert PARSERS[language](text), language
         assert not PARSERS[language](text[:-1]), language
+
+
+def test_an_else_after_a_statement_that_was_read_before():
+    for language, text in (("js", "function f() { if (a) b(c); if (a) b(c); else d(); for (x of y) if (a) b(); else c(); do e(); while (f); }"), ("java", "class A { void m() { if (a) b(c); if (a) b(c); else d(); while (x) if (a) b(); else c(); } }"), ("c", "int f() { if (a) b(c); if (a) b(c); else d(); while (x) if (a) b(); else c(); }")):
+        for _ in range(2):
+            assert PARSERS[language](text), language
