@@ -72,6 +72,21 @@ class Reader:
             return None
         return at, key
 
+    def headed(self, rule: Callable[[], object], known: set) -> None:
+        """A rule that ends before a brace, remembered like a statement."""
+        try:
+            at = self.k.index("{", self.p, self.p + SHORT)
+        except ValueError:
+            rule()
+            return
+        key = tuple(self.k[self.p : at])
+        if key in known:
+            self.p = at
+            return
+        rule()
+        if self.p == at and len(known) < REMEMBERED:
+            known.add(key)
+
     def need(self, kind: str) -> None:
         if self.k[self.p] != kind:
             raise Bad
@@ -125,6 +140,7 @@ class Grammar:
         self.tokens = re.compile(f"{space}({tokens})", re.M | re.S)  # the space before a token is read with it
         self.kinds = Kinds(kind)
         self.reader = reader
+        self.wrong: set[tuple] = set()  # beginnings that have been seen to be no beginning
 
     def lexed(self, tokens: list[str]) -> list[str]:
         return list(filter(None, map(self.kinds.__getitem__, tokens)))
@@ -159,9 +175,15 @@ class Grammar:
         found, tokens = self.tokens.finditer(self.bare(text)), []
         for most in HEADS:
             tokens += [m[1] for m in islice(found, most - len(tokens))]
+            kinds = self.part(self.lexed(tokens))
+            key = tuple(kinds)
+            if key in self.wrong:
+                return False
             try:
-                self.reader(self.part(self.lexed(tokens))).file()
+                self.reader(kinds).file()
             except Bad:
+                if len(self.wrong) < REMEMBERED:
+                    self.wrong.add(key)
                 return False
             except IndexError:
                 pass  # the head is valid as far as it goes

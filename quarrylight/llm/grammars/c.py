@@ -28,6 +28,7 @@ _PREFIX = set("+ - * & ! ~ ++ -- &&".split())
 _TYPE_START = {"t", "q", "struct", "enum", "typeof", "attr"}
 _NAME = {"i", "M"}
 _KNOWN: set[tuple] = set()  # statements that have been read
+_HEADS: set[tuple] = set()  # conditions that have been read
 
 
 def _kind(token: str) -> str:
@@ -485,9 +486,7 @@ class _C(Reader):
             self.p += 1
         elif t == "if" or t == "while" or t == "switch":
             self.p += 1
-            self.need("(")
-            self.exprs()
-            self.need(")")
+            self.headed(self.condition, _HEADS)
             self.stmt()
             if t == "if" and self.take("else"):
                 self.stmt()
@@ -572,6 +571,11 @@ class _C(Reader):
                 return
             raise Bad
 
+    def condition(self) -> None:
+        self.need("(")
+        self.exprs()
+        self.need(")")
+
     def declares(self) -> bool:
         """Whether a declaration, not an expression, begins here."""
         k, at = self.k, self.p

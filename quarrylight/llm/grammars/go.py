@@ -12,6 +12,7 @@ _ASSIGN = set("= := += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 _PREFIX = set("+ - * & ! ^ <- ~".split())
 _ENDS = {"i", "v", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
 _KNOWN: set[tuple] = set()  # statements that have been read
+_HEADS: set[tuple] = set()  # heads of if that have been read
 _TYPE_START = {"i", "*", "[", "map", "chan", "func", "struct", "interface", "<-", "("}
 
 
@@ -445,7 +446,7 @@ class _Go(Reader):
             self.p += 1
             if k[self.p] == "{":
                 raise Bad
-            self.clause()
+            self.headed(self.clause, _HEADS)
             self.block()
             if self.take("else"):
                 if k[self.p] == "if":

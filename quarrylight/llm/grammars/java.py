@@ -13,6 +13,7 @@ _BINARY = set("+ - * / % & | ^ < > && || << == != <= >= = += -= *= /= %= &= |= ^
 _PREFIX = set("+ - ! ~ ++ --".split())
 _NAME = {"i", "record", "permits", "yield", "when", "sealed"}
 _KNOWN: set[tuple] = set()  # statements that have been read
+_HEADS: set[tuple] = set()  # conditions that have been read
 _AFTER_CAST = _NAME | {"v", "(", "!", "~", "this", "super", "new", "t", "void", "switch"}
 
 
@@ -583,7 +584,7 @@ class _Java(Reader):
             self.p += 1
         elif t == "if":
             self.p += 1
-            self.condition()
+            self.headed(self.condition, _HEADS)
             self.stmt()
             if self.take("else"):
                 self.stmt()

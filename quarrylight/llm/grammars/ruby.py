@@ -269,6 +269,7 @@ _STARTS = {"i", "i?", "C", "v", "s", "ivar", "self", "label", "->", "not", "defi
 
 #: Statements that have been read, with the spaces within them.
 _KNOWN: dict[tuple, set[bytes]] = {}
+_WRONG: set[tuple] = set()  # beginnings that have been seen to be no beginning
 
 
 class _Ruby(Reader):
@@ -1013,8 +1014,15 @@ class RubyGrammar:
                 else:
                     code.most = most
                     code.run()
+                key = (tuple(code.kinds), bytes(code.spaces))
+                if key in _WRONG:
+                    return False
                 _Ruby(code.kinds, code.spaces).file()
-            except (_Unclosed, Bad):
+            except _Unclosed:
+                return False
+            except Bad:
+                if len(_WRONG) < REMEMBERED:
+                    _WRONG.add(key)
                 return False
             except IndexError:
                 pass  # the head is valid as far as it goes

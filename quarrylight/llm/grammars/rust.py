@@ -17,6 +17,7 @@ _PREFIX = {"-", "!", "*", "&", "&&"}
 _NAME = {"i", "union", "auto", "default", "macro_rules", "raw", "safe"}
 _PATH = _NAME | {"crate", "super", "self", "Self"}
 _KNOWN: set[tuple] = set()  # statements that have been read
+_HEADS: set[tuple] = set()  # conditions that have been read
 _BLOCKS = {"if", "match", "loop", "while", "for", "{", "unsafe"}
 _ENDS_EXPR = {")", "]", "}", ",", ";", "=>", "", "else", ":"}
 
@@ -810,7 +811,7 @@ class _Rust(Reader):
 
     def condition(self) -> None:
         bare, self.bare = self.bare, True
-        self.expr()
+        self.headed(self.expr, _HEADS)
         self.bare = bare
 
     def primary(self) -> None:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
-from quarrylight.llm.grammars.base import BLOCK, END, HEADS, LINE, MARKER, REMEMBERED, STRING, Bad, Kinds, Reader
+from quarrylight.llm.grammars.base import BLOCK, END, HEADS, LINE, MARKER, REMEMBERED, SHORT, STRING, Bad, Kinds, Reader
 
 _NAMED = r"[^\W\d][\w$]*|\$[\w$]*|\\u[\da-fA-F{}]+[\w$]*"
 _TOKENS = re.compile(
@@ -165,6 +165,7 @@ def _template(text: str, at: int) -> tuple[str, int]:
 class _Script(Reader):
     typed = False
     known: set[tuple] = set()  # statements that have been read
+    heads: set[tuple] = set()  # conditions that have been read
     no_in = False
 
     def __init__(self, kinds: list[str], breaks: bytearray) -> None:
@@ -263,7 +264,11 @@ class _Script(Reader):
                 self.class_()
         elif t == "if":
             self.p += 1
-            self.condition()
+            brace = k.index("{", self.p) if "{" in k[self.p : self.p + SHORT] else self.p
+            if self.breaks.find(1, self.p, brace) < 0 and brace > self.p:
+                self.headed(self.condition, self.heads)
+            else:
+                self.condition()
             self.stmt()
             if self.take("else"):
                 self.stmt()
@@ -949,6 +954,7 @@ class _Script(Reader):
 class _Typed(_Script):
     typed = True
     known: set[tuple] = set()
+    heads: set[tuple] = set()
 
     def annotation(self) -> None:
         if self.take(":"):
