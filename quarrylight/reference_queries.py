@@ -784,9 +784,12 @@ def q_internal_deps(spark, d):
     return q_direct_deps(spark, d).where("import_type = 'internal'").select("path", "target")
 
 
-@add("q_resolve_import", f"WITH {_N}, w AS (SELECT DISTINCT regexp_replace(path, '\\.rs$', '') AS imported, path FROM n WHERE ends_with(path, '.rs')) SELECT imported, path FROM w")
+@add("q_resolve_import", f"WITH {_N}, w AS (SELECT DISTINCT regexp_replace(path, '\\.rs$', '') AS imported, path FROM n WHERE ends_with(path, '.rs')) SELECT imported, path FROM w WHERE NOT contains(split_part(imported, '/', -1), '.')")
 def q_resolve_import(spark, d):
-    """Each Rust file asked for by its path without extension; the longest variant that is unique is the file itself."""
+    """Each Rust file asked for by its path without extension; the longest variant that is unique is the file itself.
+
+    A name with a dot counts as one with an extension, so no other is tried for it.
+    """
     nodes = nodes_of(spark, d)
     rust = nodes.where(F.col("path").endswith(".rs")).select(F.regexp_replace("path", r"\.rs$", "").alias("imported"))
     return imports.variant_lookup(rust, nodes)
