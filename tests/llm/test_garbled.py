@@ -91,3 +91,54 @@ def test_entities_over_another_garbling(judge):
     garbled = read("größere", "utf-8", "cp850")
     entities = "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in garbled)
     assert "größere" in {w for _, w in chains(entities)}
+
+
+DANISH = ["brød", "følger", "være", "gjør", "først", "værdi", "sætter", "større"]
+
+
+@pytest.fixture(scope="module")
+def halved(spark):
+    """(doc_id, text) of which only one half, by the hash of the key, has words that a model without them takes for garbled."""
+    halves = spark.range(400).select("id", G._half("id")).collect()
+    return [(k, CLEAN[k % 10] + (f"\n{DANISH[k % 8]}\nnote{k}\u00e9 &eacute;t&eacute;" if half == 0 else "")) for k, half in halves]
+
+
+def test_margin_is_validated_on_the_words_of_both_halves(spark, halved, monkeypatch):
+    found, margin_of = [], G.margin_of
+    monkeypatch.setattr(G, "margin_of", lambda *given: found.append(margin_of(*given)) or found[-1])
+    restore(spark.createDataFrame(halved, "doc_id long, text string"))
+    assert found == [7.0]
+
+
+def test_errors_count_every_word_of_every_clean_line(spark, halved):
+    rows = halved + [(k, CLEAN[k % 10] + "\n" + read(CLEAN[k % 5], "utf-8", "cp1250") + "\n" + CLEAN[10]) for k in range(400, 440)]
+    df = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1002, "ascii only")], "doc_id long, text string")
+    tables = G.counts(df)
+    broadcast = spark.sparkContext.broadcast(tables)
+    words = G.clean_words(G.judged(df, broadcast))
+    got = {r["margin"]: tuple(r)[1:] for r in G.errors_of(words, broadcast).collect()}
+    judges = [Judge(Model(*x), G.MARGINS[-1]) for x in (tables[1], tables[0], [a + b for a, b in zip(*tables)])]
+    clean = []
+    for half, text in df.where("text is not null").select(G._half("doc_id"), "text").collect():
+        for line in text.split("\n"):
+            if not judges[2].line(line):
+                clean += [(2 if G.suspicious(line) else half, w) for w in line.split() if not w.isascii() or G._ENTITY.search(w)]
+    counted = words.collect()
+    assert sum(r.n0 + r.n1 + r.n2 for r in counted) == len(clean) and len(counted) == len({w for _, w in clean}) > 200
+    assert {"brød", "µs", "&eacute;t&eacute;"} < {r.w for r in counted} and not any("Ă" in r.w for r in counted)
+    gains = [judges[i].gain(w) for i, w in clean]
+    bad = [judges[i].gain(form) for i, w in set(clean) if not w.isascii() for form in G._garbled_on_purpose(w)]
+    assert got == {m: (sum(g >= m for g in gains), len(gains), sum(g < m for g in bad), len(bad)) for m in G.MARGINS}
+
+
+def test_cases_of_one_pass_are_those_of_each_margin(spark, halved):
+    texts = [t for _, t in halved[:20]] + ["├───┼───┤ děti", "├───┼───┤ smazání\n" + read(CLEAN[2], "utf-8", "latin-1"), "følger\n" + read(CLEAN[3], "cp1250", "cp1252"), "µs", "The fa�ade hides µs", "“Ã©” is é", read(CLEAN[1], "utf-8", "cp1250")]
+    df = spark.createDataFrame(halved + list(enumerate(texts, 2000)) + [(3000, None)], "doc_id long, text string")
+    tables = G.counts(df)
+    rows = G.judged(df, spark.sparkContext.broadcast(tables)).where("w is null").collect()
+    whole = Model(*(a + b for a, b in zip(*tables)))
+    for margin in G.MARGINS:
+        judge = Judge(whole, margin)
+        expected = [(k, *judge.text(t)) for k, t in df.collect() if judge.text(t)[0]]
+        assert sorted((r.k, r.chain, r.restored) for r in rows if r.least <= margin <= r.most) == sorted(expected)
+    assert len({r.most for r in rows}) > 1  # some depend on the margin: the counts leave out lines of ├┼┤
